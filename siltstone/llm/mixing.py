@@ -32,6 +32,7 @@ from siltstone.llm.common import WORD, Workspace
 
 ROUNDS = 12
 RANGE = 4096
+SLOTS_A_TASK = 65_536
 
 
 def word_count(text: Column) -> Column:
@@ -100,10 +101,10 @@ def plan_sources(sources: DataFrame, block: int, seed: int) -> DataFrame:
     return out.withColumn("last_take", last).withColumn("slots", F.col("passes") * F.col("blocks") + F.col("more"))
 
 
-def slots(sources: DataFrame, block: int, seed: int, per_shard: int = 4096) -> DataFrame:
-    """One row a slot: ``source_no, slot, shard, block_no, take, block_size``."""
+def slots(sources: DataFrame, block: int, seed: int, per_shard: int = 4096, parts: int = 4) -> DataFrame:
+    """One row a slot: ``source_no, slot, shard, block_no, take, block_size``, made in ``parts`` tasks."""
     ranges = sources.withColumn("range", F.explode(F.expr(f"sequence(0, (slots - 1) div {RANGE})")))
-    ranges = ranges.where("slots > 0").repartition("source_no", "range")
+    ranges = ranges.where("slots > 0").repartition(parts, "source_no", "range")
     first = F.col("range") * RANGE
     each = ranges.withColumn("slot", F.explode(F.sequence(first, F.least(first + RANGE, F.col("slots")) - 1)))
     index = permuted(F.col("slot") % F.col("blocks"), F.col("source_no"), F.col("blocks"), seed)
@@ -130,7 +131,9 @@ class Mix:
         sums = self.sized.groupBy("source").agg(F.sum("size").alias("source_size"))
         self.sources = ws.write(targets(sums, weights, ratio, most), "sources")
         planned = plan_sources(self.sources, block, seed)
-        self.slots = slots(planned.withColumn("all_slots", F.sum("slots").over(W.partitionBy())), block, seed)
+        words = self.sources.agg(F.sum("source_size")).first()[0] or 0
+        parts = int(words * ratio / block / SLOTS_A_TASK) + 1
+        self.slots = slots(planned.withColumn("all_slots", F.sum("slots").over(W.partitionBy())), block, seed, parts=parts)
 
     def positions(self) -> DataFrame:
         """Each document's first word in its source's pseudorandom order."""
@@ -158,7 +161,8 @@ class Mix:
         """``doc_id, source, size, source_size, target, taken`` for every document."""
         whole = F.col("take") == F.col("block_size")
         takes = self.slots.groupBy("source_no", "block_no").agg(F.count_if(whole).alias("full"), F.coalesce(F.max(F.when(~whole, F.col("take"))), F.lit(0)).alias("part"))
-        joined = self.blocks().join(takes, ["source_no", "block_no"], "left")
+        # Slots come from a few exploded rows, so Spark takes them for a small table; never broadcast them.
+        joined = self.blocks().join(takes.hint("merge"), ["source_no", "block_no"], "left")
         words = F.col("full") * (F.col("high") - F.col("low")) + F.greatest(F.least("high", "part") - F.col("low"), F.lit(0))
         keys = ["source_no", "chunk", "row", "doc_id", "source", "size", "source_size", "target"]
         return joined.groupBy(*keys).agg(F.coalesce(F.sum(words), F.lit(0)).alias("taken")).drop("source_no", "chunk", "row")
