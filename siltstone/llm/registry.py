@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, classifier, mixing, ngram_join, privacy, rules, unigram, urls
+from siltstone.llm import bpe, classifier, mixing, ngram_join, privacy, rules, unigram, urls, vectors
 from siltstone.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -71,6 +75,7 @@ def queries() -> dict[str, Query]:
         op5_ngram_join,
         op7_url_filter,
         op8_token_counts,
+        op9_embedding_near_dedup,
         op10_quality_rules,
     )
     return {f.__name__: f for f in every}
