@@ -47,10 +47,10 @@ FACTORS = [np.uint64(int(x) | 1) for x in np.random.default_rng(5).integers(1 <<
 #: Shingles of this many nodes are common: they go to the end of the order.
 COMMON = 32
 #: Tables of at most this many narrow rows are broadcast; larger ones are joined by shuffling.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 300_000
 #: Common shingles told to all tasks, at most (8 bytes each).  Others stay in hash order, which is as exact.
 MOST_COMMON = 1 << 20
-FLUSH = 3_000_000
+FLUSH = 2_000_000
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -74,7 +74,7 @@ def shingles(text: str | None, words: Memo) -> np.ndarray:
 
 
 def word_hashes() -> Memo:
-    return Memo(xxhash.xxh64_intdigest)
+    return Memo(xxhash.xxh64_intdigest, 250_000)
 
 
 def least_overlap(n, percent: int):
@@ -134,7 +134,7 @@ class _Chunk:
         shorts = np.array(self.shorts, dtype=np.int64)
         if self.prefixes:
             token = np.concatenate(self.prefixes)
-            owner = np.repeat(np.arange(len(self.prefixes)), list(map(len, self.prefixes)))
+            owner = np.repeat(np.arange(len(self.prefixes), dtype=np.int32), list(map(len, self.prefixes)))
             order = np.argsort(token, kind="stable")
             token, owner = token[order], owner[order]
             first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
@@ -339,19 +339,22 @@ class NgramJoin:
         every = open_lists.alias("y")
         x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
         p = self.percent
+        # The first shared shingle of a pair has no shared one before it, so what follows must suffice.
         bound = F.least(x("n") - x("at"), y("n") - y("at"))
-        share = lambda inter: inter * (100 + p) >= p * (x("n") + y("n"))
-        longer = F.greatest("x.matches", "y.matches") > 1
         fits = (
             (x("token") == y("token"))
             & (x("component") != y("component"))
             & ((y("component") == y("main")) | (x("node") < y("node")))
             & (100 * F.least("x.n", "y.n") >= p * F.greatest("x.n", "y.n"))
+            & (bound * (100 + p) >= p * (x("n") + y("n")))
         )
-        met = few.join(every, fits).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.least("x.matches", "y.matches").alias("asked"), share(bound).alias("possible"), longer.alias("longer"))
-        # The first shared shingle of a pair obeys the position bound; later ones only add to the count.
-        counted = met.groupBy("a", "b", "asked").agg(F.count("*").alias("shared"), F.max("possible").alias("possible"))
-        return counted.where("possible and shared >= asked").select("a", "b")
+        met = few.join(every, fits).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+        met = self.ws.write(met.distinct(), "crossing")
+        lists = self.lists.select("token", "node", "matches")
+        one = self.small(met).join(lists.select(F.col("node").alias("a"), "token", F.col("matches").alias("own")), "a")
+        two = one.join(lists.select(F.col("node").alias("b"), "token", "matches"), ["b", "token"])
+        counted = two.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(F.least("own", "matches")).alias("asked"))
+        return counted.where("shared >= asked").select("a", "b")
 
     def result(self) -> DataFrame:
         self.count()
