@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, classifier, mixing, ngram_join, privacy, rules, unigram, urls, vectors
+from siltstone.llm import bpe, classifier, lines, mixing, ngram_join, privacy, rules, unigram, urls, vectors
 from siltstone.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,10 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_counts(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
 
@@ -73,6 +77,7 @@ def queries() -> dict[str, Query]:
         op3_bpe_codec,
         op4_personal_data,
         op5_ngram_join,
+        op6_line_dedup,
         op7_url_filter,
         op8_token_counts,
         op9_embedding_near_dedup,
