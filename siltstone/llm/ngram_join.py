@@ -9,8 +9,8 @@ uses this twice, with longer prefixes (a larger l) where a short one would cost
 2. Counting.  In hash order, each set's prefix is lengthened by l = ``lengthen`` of its size.  Prefix
    shingles meet by hash in blocks; a set none of whose partners could hold l of them drops
    out.  A block of documents sends a shingle once, however many of them hold it, so
-   common shingles do not gather.  The same counts name the common shingles.
-3. Prefixes of what remains, common shingles last.  A document whose prefix still reaches common
+   common shingles do not gather.
+3. Prefixes of what remains, shingles that many nodes hold last.  A document whose prefix still reaches common
    shingles, and so has a high estimated candidate cost, takes a longer prefix and needs as many
    more shared shingles.
 4. Leaders.  Every node is verified against one leader, the node that most of its prefix lists name.
@@ -102,8 +102,8 @@ def digest_of(tokens: np.ndarray) -> bytes:
 
 _COUNTED = pa.schema([("block", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("short", pa.int64()), ("found", pa.int64()), ("tokens", pa.binary()), ("at", pa.binary()), ("owners", pa.binary())])
 _COUNTED_SQL = "block int, doc_id long, n long, digest binary, short long, found long, tokens binary, at binary, owners binary"
-_FOUND = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("short", pa.int64()), ("found", pa.int64()), ("common", pa.int64())])
-_FOUND_SQL = "doc_id long, n long, digest binary, short long, found long, common long"
+_FOUND = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("short", pa.int64()), ("found", pa.int64())])
+_FOUND_SQL = "doc_id long, n long, digest binary, short long, found long"
 
 
 class _Chunk:
@@ -143,7 +143,7 @@ class _Chunk:
             token, owner = token[first], np.where(times > 1, -1, owner[first])
             block = (token % np.uint64(self.blocks)).astype(np.int64)
             order = np.argsort(block, kind="stable")
-            token, owner, block, times = (token[order] // np.uint64(self.blocks)).astype(np.uint32), owner[order], block[order], times[order]
+            token, owner, block = (token[order] // np.uint64(self.blocks)).astype(np.uint32), owner[order], block[order]
             cuts = np.searchsorted(block, np.arange(self.blocks + 1))
             for b in range(self.blocks):
                 low, high = cuts[b], cuts[b + 1]
@@ -152,46 +152,46 @@ class _Chunk:
                     used, at = np.unique(own[own >= 0], return_inverse=True)
                     place = np.full(high - low, -1, dtype=np.int32)
                     place[own >= 0] = at
-                    place[own < 0] = -np.minimum(times[low:high][own < 0], 1 << 30)
-                    kind = np.int16 if len(used) < 1 << 15 and place.min() >= -(1 << 15) else np.int32
+                    kind = np.int16 if len(used) < 1 << 15 else np.int32
                     yield b, None, kind().itemsize, None, None, None, token[low:high].tobytes(), place.astype(kind).tobytes(), shorts[used].tobytes()
         for i, (doc_id, n, digest, at) in enumerate(self.docs):
             yield i % self.blocks, doc_id, n, digest, None if at is None else self.shorts[at], 0 if at is None else int(found[at]), None, None, None
         self.clear()
 
 
-def _meet(group: pa.Table, blocks: int) -> pa.Table:
-    """Credit sets with shingles of this block that another set holds too, and name common ones."""
-    whole = group.filter(pc.is_valid(group["digest"])).select([f.name for f in _FOUND if f.name != "common"])
-    out = [whole.append_column("common", pa.nulls(whole.num_rows, pa.int64())).cast(_FOUND)]
+def _meet(group: pa.Table) -> pa.Table:
+    """Pass documents on, and credit sets with shingles of this block that another set holds too."""
+    whole = group.filter(pc.is_valid(group["digest"])).select(_FOUND.names).cast(_FOUND)
     sent = group.filter(pc.is_valid(group["tokens"]))
-    if sent.num_rows:
-        tokens, shorts, counts = [], [], []
-        for row in sent.to_pylist():
-            tokens.append(np.frombuffer(row["tokens"], dtype=np.uint32))
-            place = np.frombuffer(row["at"], dtype=np.int16 if row["n"] == 2 else np.int32).astype(np.int64)
-            owners = np.append(np.frombuffer(row["owners"], dtype=np.int64), 0)
-            shorts.append(owners[np.where(place < 0, len(owners) - 1, place)])
-            counts.append(np.where(place < 0, -place, 1))
-        token, short, count = map(np.concatenate, (tokens, shorts, counts))
-        order = np.argsort(token, kind="stable")
-        token, short, count = token[order], short[order], count[order]
-        first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        shared = np.minimum.reduceat(short, first) != np.maximum.reduceat(short, first)
-        times = np.diff(np.r_[first, len(token)])
-        credit, found = np.unique(short[np.repeat(shared, times) & (short != 0)], return_counts=True)
-        common = token[first][np.add.reduceat(count, first) >= COMMON].astype(np.int64) * blocks + group["block"][0].as_py()
-        none = lambda k, t: pa.nulls(k, t)
-        for ids, hits, marks in ((credit, found, None), (None, None, common)):
-            k = len(credit if marks is None else common)
-            out.append(pa.table([none(k, pa.int64()), none(k, pa.int64()), none(k, pa.binary()), pa.array(ids) if marks is None else none(k, pa.int64()), pa.array(hits) if marks is None else none(k, pa.int64()), none(k, pa.int64()) if marks is None else pa.array(marks)], schema=_FOUND))
-    return pa.concat_tables(out)
-
-
-def mark_of(tokens: np.ndarray, blocks: int) -> np.ndarray:
-    """What stands for a shingle in the list of common ones."""
-    b = np.uint64(blocks)
-    return (((tokens // b) & np.uint64(0xFFFFFFFF)) * b + tokens % b).astype(np.int64)
+    if not sent.num_rows:
+        return whole
+    tokens, shorts = [], []
+    for row in sent.to_pylist():
+        tokens.append(np.frombuffer(row["tokens"], dtype=np.uint32))
+        place = np.frombuffer(row["at"], dtype=np.int16 if row["n"] == 2 else np.int32).astype(np.int64)
+        shorts.append(np.append(np.frombuffer(row["owners"], dtype=np.int64), 0)[place])  # -1: several
+    token, short = map(np.concatenate, (tokens, shorts))
+    order = np.argsort(token, kind="stable")
+    token, short = token[order], short[order]
+    first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    shared = np.minimum.reduceat(short, first) != np.maximum.reduceat(short, first)
+    times = np.diff(np.r_[first, len(token)])
+    credit, found = np.unique(short[np.repeat(shared, times) & (short != 0)], return_counts=True)
+    none = lambda t: pa.nulls(len(credit), t)
+    return pa.concat_tables([whole, pa.table([none(pa.int64()), none(pa.int64()), none(pa.binary()), pa.array(credit), pa.array(found)], schema=_FOUND)])
+
+
+def _common(group: pa.Table) -> pa.Table:
+    """Marks of the shingles of a block that ``COMMON`` nodes or more hold."""
+    rows = group.to_pylist()
+    token = np.concatenate([np.frombuffer(r["tokens"], dtype=np.int64) for r in rows])
+    times = np.concatenate([np.frombuffer(r["times"], dtype=np.int32) for r in rows])
+    order = np.argsort(token, kind="stable")
+    token, times = token[order], times[order]
+    first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    total = np.add.reduceat(times, first)
+    often = total >= COMMON
+    return pa.table({"common": pa.array(token[first][often]), "nodes": pa.array(total[often].astype(np.int64))})
 
 
 class NgramJoin:
@@ -210,7 +210,7 @@ class NgramJoin:
         return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
     def count(self) -> None:
-        """Steps 1 and 2: ``rows`` (documents), ``nodes`` (sets that may have partners), common shingles."""
+        """Steps 1 and 2: ``rows`` (documents) and ``nodes`` (sets that may have partners)."""
         blocks, lengthen, percent = self.blocks, self.lengthen, self.percent
 
         def start():
@@ -227,7 +227,7 @@ class NgramJoin:
             return run
 
         sent = map_rows(self.docs, _COUNTED_SQL, _COUNTED, ("doc_id", "text"), start)
-        met = sent.groupBy("block").applyInArrow(lambda group: _meet(group, blocks), _FOUND_SQL)
+        met = sent.groupBy("block").applyInArrow(_meet, _FOUND_SQL)
         met = self.ws.write(met, "met")
         self.rows = met.where("digest is not null").select("doc_id", "n", "digest")
         sets = met.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("n").alias("n"), F.max("short").alias("short"))
@@ -237,9 +237,6 @@ class NgramJoin:
         asked = F.greatest(F.lit(1), F.floor(F.lit(lengthen) * overlap))
         left = self.sets.join(found, F.col("short") == F.col("of")).where(F.col("found") >= asked)
         self.nodes = self.ws.write(left.select("node", "first_doc", "digest", "n"), "nodes")
-        marks = met.where("common is not null").select("common").limit(MOST_COMMON)
-        table = np.sort(np.array(marks.toArrow()["common"], dtype=np.int64))
-        self.common = self.spark.sparkContext.broadcast(table)
 
     def fetch(self) -> None:
         """The shingles of the nodes, from the text of one document each."""
@@ -260,20 +257,56 @@ class NgramJoin:
         arrow = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
         self.tokens = self.ws.write(map_rows(texts, "node long, n long, tokens binary", arrow, ("node", "digest", "text"), start), "tokens")
 
+    def commons(self) -> None:
+        """The shingles that many nodes hold, counted over all shingles of all nodes."""
+        blocks = self.blocks
+        arrow = pa.schema([("block", pa.int32()), ("tokens", pa.binary()), ("times", pa.binary())])
+        reachable(self.spark)
+
+        def send(held):
+            token, times = np.unique(np.concatenate(held), return_counts=True)
+            block = token % np.uint64(blocks)
+            order = np.argsort(block, kind="stable")
+            token, times, block = token[order].view(np.int64), times[order].astype(np.int32), block[order]
+            cuts = np.searchsorted(block, np.arange(blocks + 1, dtype=np.uint64))
+            for b, (low, high) in enumerate(zip(cuts, cuts[1:])):
+                if low < high:
+                    yield b, token[low:high].tobytes(), times[low:high].tobytes()
+
+        def run(batches):
+            def rows():
+                held, size = [], 0
+                for (data,) in rows_of(batches, "tokens"):
+                    held.append(np.frombuffer(data, dtype=np.uint64))
+                    size += len(held[-1])
+                    if size >= FLUSH:
+                        yield from send(held)
+                        held, size = [], 0
+                if held:
+                    yield from send(held)
+
+            yield from batched(rows(), arrow, 64)
+
+        sent = self.tokens.select("tokens").mapInArrow(run, "block int, tokens binary, times binary")
+        found = sent.groupBy("block").applyInArrow(_common, "common long, nodes long")
+        most = found.orderBy(F.col("nodes").desc(), "common").limit(MOST_COMMON).toArrow()
+        table = np.sort(np.array(most["common"], dtype=np.int64))
+        self.common = self.spark.sparkContext.broadcast(table)
+
     def prefixes(self) -> None:
         """Step 3: ``token, node, n, at, matches`` for the prefix of every node."""
-        common, blocks, percent = self.common, self.blocks, self.percent
+        common, percent = self.common, self.percent
         arrow = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("at", pa.int32()), ("matches", pa.int32())])
         reachable(self.spark)
 
         def run(batches):
             for node, n, data in rows_of(batches, "node", "n", "tokens"):
                 tokens = np.frombuffer(data, dtype=np.uint64)
-                marks = mark_of(tokens, blocks)
-                where = np.searchsorted(common.value, marks)
+                signed = tokens.view(np.int64)
                 last = np.zeros(n, dtype=bool)
                 if len(common.value):
-                    last = common.value[np.minimum(where, len(common.value) - 1)] == marks
+                    where = np.searchsorted(common.value, signed)
+                    last = common.value[np.minimum(where, len(common.value) - 1)] == signed
                 order = np.concatenate([np.flatnonzero(~last), np.flatnonzero(last)])
                 short = prefix_length(n, 1, percent)
                 # Common shingles in the shortest prefix make many candidates; ask for more matches.
@@ -359,6 +392,7 @@ class NgramJoin:
     def result(self) -> DataFrame:
         self.count()
         self.fetch()
+        self.commons()
         self.prefixes()
         first = self.verify(self.leaders(), "first")
         labels = self.ws.write(components(first, self.ws, "c1"), "labels")
