@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.sources.workspace import Workspace, reachable, shared_root
+
+__all__ = ["WORD", "Memo", "Workspace", "batched", "lower_ascii", "map_rows", "reachable", "rows_of", "shared_root", "table"]
+
 #: A word is a run of anything but ASCII white space.  ``bytes.split()`` cuts UTF-8 text the same way.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,47 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """Folder that the driver and every executor can read: ``spark.checkpoint.dir``.
-
-    Only where the session names none (single-machine tests) is a folder made here.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="siltstone-"))
-        root = context.getCheckpointDir()
-    return root.rstrip("/")
-
-
-def reachable(spark: SparkSession) -> None:
-    """Let Python workers import this package where it lies, if it isn't installed."""
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
-
-
-class Workspace:
-    """Intermediate tables in the shared folder.
-
-    A table written here cuts the lineage: losing an executor costs the tasks it ran, not
-    the whole history, and iterative jobs do not grow their plans.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_root(spark)}/siltstone-{name}-{uuid.uuid4().hex}"
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        """Delete a table that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def lower_ascii(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
