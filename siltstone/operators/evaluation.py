@@ -54,6 +54,15 @@ def summary(results: DataFrame) -> DataFrame:
     return results.agg(*out)
 
 
+def summary_json(results: DataFrame, **settings: int) -> DataFrame:
+    """One JSON text: settings and counts, means of each part, and all questions, for a text sink."""
+    one = summary(results)
+    meta = F.struct(*(F.lit(v).alias(k) for k, v in settings.items()), "n_total", "n_normal", "n_impossible")
+    parts = [F.struct(*(F.col(f"{p}_{c}").alias(c) for c in CHANNELS)).alias(p) for p in ("normal", "impossible", "all")]
+    rows = results.agg(F.array_sort(F.collect_list(F.struct(*results.columns))).alias("per_question"))  # a gold set is small
+    return one.crossJoin(rows).select(F.to_json(F.struct(meta.alias("run_meta"), *parts, "per_question")).alias("value"))
+
+
 def by_tag(results: DataFrame) -> DataFrame:
     """Mean hits of each tag and of all (null tag) in one pass."""
     return results.rollup("tag").agg(F.count("*").alias("n"), *(mean_hit(F.col(f"hit_{c}")).alias(c) for c in CHANNELS))

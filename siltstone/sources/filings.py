@@ -1,10 +1,7 @@
-"""Filing metadata and manifests as tables; the network is a function passed in."""
+"""Filing metadata and manifests as tables."""
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,17 +39,6 @@ def usable_document(status: Column, text: Column) -> Column:
     return F.coalesce((status == 200) & (F.length(text) > MIN_DOCUMENT_CHARS), F.lit(False))
 
 
-def fetch_all(filings: list[dict], fetch: Callable[[dict], str | None], pause: float = 0.5) -> list[dict]:
-    """Fetch documents one by one, pausing after each: the rate limit is one for all.  Missing ones are skipped."""
-    out = []
-    for f in filings:
-        text = fetch(f)
-        time.sleep(pause)
-        if text is not None:
-            out.append(f | {"raw": text, "size_bytes": len(text)})
-    return out
-
-
 def with_local_file(manifest: DataFrame, folder: str) -> DataFrame:
     return manifest.withColumn("local_file", F.concat(F.lit(f"{folder}/"), slug(F.col("company")), F.lit(".html")))
 

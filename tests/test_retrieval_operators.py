@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from siltstone import cli
 from siltstone.operators import evaluation, fusion, lexical, prompting, vector
-from siltstone.sources import filings, store
+from siltstone.sources import fetch, filings, store
 from siltstone.streaming import ingest
 
 TEXTS = ["the cat sat on the mat", "the dog sat", "a cat and a dog", "the the the", "birds fly", "", "the cat sat on the mat"]
@@ -106,6 +106,8 @@ def test_evaluation(spark):
     assert (rows[1].rank_bm25, rows[1].hit_bm25, rows[1].rank_vector) == (2, 0, None) and rows[3].rank_fused is None
     assert evaluation.summary(out).first().normal_bm25 == 0.0
     assert evaluation.summary(out.limit(0)).first().all_fused == 0.0
+    stored = json.loads(evaluation.summary_json(out, k=1).first().value)
+    assert stored["run_meta"]["k"] == 1 and len(stored["per_question"]) == 3 and stored["all"]["bm25"] == 0.0
     assert {x.tag: x.n for x in evaluation.by_tag(out).collect()} == {None: 3, "normal": 2, "retrieval-impossible": 1}
     rates = {x.doc_id: (x.wrong, x.others) for x in evaluation.false_positive_rate(lists, gold, chunks).collect()}
     assert rates == {1: (3, 3), 2: (0, 2)}
@@ -124,13 +126,26 @@ def test_prompts(spark):
 
 
 def test_filings(spark):
-    got = filings.fetch_all([{"company": "A"}, {"company": "B"}], lambda f: "text" if f["company"] == "A" else None, pause=0)
-    assert got == [{"company": "A", "raw": "text", "size_bytes": 4}]
     rows = spark.createDataFrame([(200, "x" * 10_001), (200, "x" * 10_000), (404, "x" * 20_000), (200, None)], "s int, t string")
     assert [x.u for x in rows.select(filings.usable_document(F.col("s"), F.col("t")).alias("u")).collect()] == [True, False, False, False]
     assert len(filings.COMPANIES) == 7
 
 
+def test_fetching_falls_back_to_the_index(tmp_path):
+    recent = {"form": ["10-K/A", "10-K"], "accessionNumber": ["0-1", "0-2"], "filingDate": ["2025", "2024"], "primaryDocument": ["a.htm", "b.htm"]}
+    folder = f"{fetch.ARCHIVE}/Archives/edgar/data/0000000007/02"
+    pages = {
+        fetch.SUBMISSIONS.format(cik="0000000007"): json.dumps({"filings": {"recent": recent}}),
+        f"{folder}/b.htm": "stub",
+        f"{folder}/": '<a HREF="/x/short.htm"><a href="https://other/long.html"><a href="/c.txt">',
+        f"{fetch.ARCHIVE}/x/short.htm": "short",
+        "https://other/long.html": "L" * 10_001,
+    }
+    got = fetch.fetch_companies(lambda url: (200, pages[url]), str(tmp_path), {"A (Co)": "7", "None": "8"}, pause=0)
+    assert [(m["company"], m["accession_flat"], m["size_bytes"]) for m in got] == [("A (Co)", "02", 10_001)]
+    assert (tmp_path / "raw" / "a_co_2024.html").exists() and len(json.loads((tmp_path / "manifest.json").read_text())) == 1
+
+
 def chunk(i, text, section="x"):
     return {"chunk_id": i, "company": "A", "section": section, "chunk_index": 0, "total_chunks": 1, "text": text, "char_count": len(text)}
 
@@ -168,7 +183,7 @@ def test_command_line_builds_a_table(spark, tmp_path, capsys):
     (raw / "a_co.html").write_bytes(b"<html><body><p>Start " + body.encode() * 2 + b"\xff</p><p>Item 1. Business</p><p>" + body.encode() * 3 + b"</p></body></html>")
     manifest = tmp_path / "manifest.json"
     manifest.write_text(json.dumps([{"company": "A Co", "filing_date": "2024", "local_file": str(raw / "a_co.html")}, {"company": "B", "filing_date": "2024", "local_file": str(raw / "none.html")}]))
-    cli.main(["all", "--manifest", str(manifest), "--out", str(tmp_path)])
+    cli.main(["all", "--skip-fetch", "--manifest", str(manifest), "--out", str(tmp_path)])
     rows = store.VersionedTable(spark, f"{tmp_path}/table").read().collect()
     assert rows and {x.company for x in rows} == {"A Co"} and {x.section for x in rows} == {"business"}
     assert all(len(x.embedding) == 384 for x in rows)
