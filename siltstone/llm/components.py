@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import Workspace
 
 
+#: Edges of one task, at least: small tables are not spread over all shuffle partitions.
+EDGES_A_TASK = 50_000
+
+
 def _mark(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     return tuple(row)
@@ -21,17 +25,22 @@ def _mark(edges: DataFrame) -> tuple:
 
 def components(edges: DataFrame, ws: Workspace, name: str = "cc") -> DataFrame:
     """``node, component`` for every node of ``edges(a, b)``; the component is its smallest node."""
+    parts = edges.count() // EDGES_A_TASK + 1
+
+    def write(df: DataFrame, table: str) -> DataFrame:
+        return ws.write(df.coalesce(parts), table)
+
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    pairs = ws.write(pairs, f"{name}-0")
+    pairs = write(pairs, f"{name}-0")
     mark, step = _mark(pairs), 0
     while mark[0]:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = ws.write(both.groupBy("a").agg(F.least("a", F.min("b")).alias("low")), f"{name}-{step}-large")
+        lowest = write(both.groupBy("a").agg(F.least("a", F.min("b")).alias("low")), f"{name}-{step}-large")
         large = both.join(lowest, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = ws.write(large.where("a <> b").distinct(), f"{name}-{step}-l")
-        lowest = ws.write(large.groupBy("a").agg(F.min("b").alias("low")), f"{name}-{step}-small")
+        large = write(large.where("a <> b").distinct(), f"{name}-{step}-l")
+        lowest = write(large.groupBy("a").agg(F.min("b").alias("low")), f"{name}-{step}-small")
         moved = large.join(lowest, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        small = ws.write(moved.unionByName(lowest.select("a", F.col("low").alias("b"))).distinct(), f"{name}-{step + 1}")
+        small = write(moved.unionByName(lowest.select("a", F.col("low").alias("b"))).distinct(), f"{name}-{step + 1}")
         for old in ("large", "l", "small"):
             ws.drop(f"{name}-{step}-{old}")
         ws.drop(f"{name}-{step}")
