@@ -14,13 +14,13 @@ uses this twice, with longer prefixes (a larger l) where a short one would cost
    shingles, and so has a high estimated candidate cost, takes a longer prefix and needs as many
    more shared shingles.
 4. Leaders.  Every node is verified against one leader, the node that most of its prefix lists name.
-   Components of these links stand for large groups of near copies.
-5. Only pairs of different components are still open.  In each prefix list, nodes outside the
-   largest component meet all others, under length and position bounds and the number of
+   The stars of these links stand for large groups of near copies.
+5. Only pairs of different stars are still open.  In each prefix list, nodes outside the
+   largest star meet all others, under length and position bounds and the number of
    shared shingles; distinct pairs are verified.  A group of near copies never meets all-against-all.
 
 Pairs are verified by exact intersection, so every link between different sets is either found or
-implied by its component, whatever the sizes of lists and groups.
+implied by its star, whatever the sizes of lists and groups.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; repeated rows are
 equal sets; a null doc_id counts only for lack of another id in its component.
@@ -360,8 +360,13 @@ class NgramJoin:
         first = votes.groupBy("node").agg(F.max_by("leader", F.struct("votes", -F.col("leader"))).alias("leader"))
         return first.select(F.col("node").alias("a"), F.col("leader").alias("b"))
 
+    def stars(self, links: DataFrame) -> DataFrame:
+        """``node, component`` of linked nodes: their leader, or its own leader where it has one."""
+        up = links.alias("l").join(links.alias("u"), F.col("l.b") == F.col("u.a"), "left")
+        return self.ws.write(up.select(F.col("l.a").alias("node"), F.coalesce("u.b", "l.b").alias("component")), "stars")
+
     def crossing(self, labels: DataFrame) -> DataFrame:
-        """Step 5: pairs of nodes of different components that the bounds leave open."""
+        """Step 5: pairs of nodes of different stars that the bounds leave open."""
         named = self.lists.join(self.small(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
         named = self.ws.write(named, "named")
         sides = named.groupBy("token", "component").agg(F.count("*").alias("nodes"))
@@ -395,9 +400,8 @@ class NgramJoin:
         self.commons()
         self.prefixes()
         first = self.verify(self.leaders(), "first")
-        labels = self.ws.write(components(first, self.ws, "c1"), "labels")
-        second = self.verify(self.crossing(labels), "second")
-        final = components(first.unionByName(second), self.ws, "c2")
+        second = self.verify(self.crossing(self.stars(first)), "second")
+        final = components(first.unionByName(second), self.ws, "c")
         named = self.sets.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
         named = self.ws.write(named.select(F.col("digest").alias("of"), "first_doc", "component"), "named-sets")
         least = named.groupBy("component").agg(F.min("first_doc").alias("component_id"))
