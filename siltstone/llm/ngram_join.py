@@ -100,10 +100,10 @@ def digest_of(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-_COUNTED = pa.schema([("block", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("short", pa.int64()), ("found", pa.int64()), ("tokens", pa.binary()), ("at", pa.binary()), ("owners", pa.binary())])
-_COUNTED_SQL = "block int, doc_id long, n long, digest binary, short long, found long, tokens binary, at binary, owners binary"
-_FOUND = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("short", pa.int64()), ("found", pa.int64())])
-_FOUND_SQL = "doc_id long, n long, digest binary, short long, found long"
+_COUNTED = pa.schema([("block", pa.int32()), ("doc_id", pa.int64()), ("version", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("short", pa.int64()), ("found", pa.int64()), ("tokens", pa.binary()), ("at", pa.binary()), ("owners", pa.binary())])
+_COUNTED_SQL = "block int, doc_id long, version long, n long, digest binary, short long, found long, tokens binary, at binary, owners binary"
+_FOUND = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("short", pa.int64()), ("found", pa.int64())])
+_FOUND_SQL = "doc_id long, version long, n long, digest binary, short long, found long"
 
 
 class _Chunk:
@@ -116,11 +116,11 @@ class _Chunk:
     def clear(self) -> None:
         self.docs, self.known, self.prefixes, self.shorts, self.size = [], set(), [], [], 0
 
-    def add(self, doc_id, tokens: np.ndarray) -> None:
+    def add(self, doc_id, version: int, tokens: np.ndarray) -> None:
         n = len(tokens)
         digest = digest_of(tokens) if n else b""
         fresh = n > 0 and digest not in self.known
-        self.docs.append((doc_id, n, digest, len(self.prefixes) if fresh else None))
+        self.docs.append((doc_id, version, n, digest, len(self.prefixes) if fresh else None))
         self.size += 1
         if fresh:
             self.known.add(digest)
@@ -153,9 +153,9 @@ class _Chunk:
                     place = np.full(high - low, -1, dtype=np.int32)
                     place[own >= 0] = at
                     kind = np.int16 if len(used) < 1 << 15 else np.int32
-                    yield b, None, kind().itemsize, None, None, None, token[low:high].tobytes(), place.astype(kind).tobytes(), shorts[used].tobytes()
-        for i, (doc_id, n, digest, at) in enumerate(self.docs):
-            yield i % self.blocks, doc_id, n, digest, None if at is None else self.shorts[at], 0 if at is None else int(found[at]), None, None, None
+                    yield b, None, None, kind().itemsize, None, None, None, token[low:high].tobytes(), place.astype(kind).tobytes(), shorts[used].tobytes()
+        for i, (doc_id, version, n, digest, at) in enumerate(self.docs):
+            yield i % self.blocks, doc_id, version, n, digest, None if at is None else self.shorts[at], 0 if at is None else int(found[at]), None, None, None
         self.clear()
 
 
@@ -178,7 +178,7 @@ def _meet(group: pa.Table) -> pa.Table:
     times = np.diff(np.r_[first, len(token)])
     credit, found = np.unique(short[np.repeat(shared, times) & (short != 0)], return_counts=True)
     none = lambda t: pa.nulls(len(credit), t)
-    return pa.concat_tables([whole, pa.table([none(pa.int64()), none(pa.int64()), none(pa.binary()), pa.array(credit), pa.array(found)], schema=_FOUND)])
+    return pa.concat_tables([whole, pa.table([none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.binary()), pa.array(credit), pa.array(found)], schema=_FOUND)])
 
 
 def _common(group: pa.Table) -> pa.Table:
@@ -198,7 +198,7 @@ class NgramJoin:
     """The join of ``docs(doc_id, text)``; ``result()`` has a row a document."""
 
     def __init__(self, docs: DataFrame, percent: int = 75, lengthen: float = 0.15, block_bytes: int = 16_000_000):
-        self.docs = docs.select("doc_id", "text")
+        self.docs = docs.select("doc_id", "text", F.xxhash64("text").alias("version"))
         self.percent, self.lengthen = percent, lengthen
         self.spark = docs.sparkSession
         self.ws = Workspace(self.spark, "ngrams")
@@ -218,30 +218,31 @@ class NgramJoin:
 
             def run(rows):
                 chunk = _Chunk(blocks, lengthen, percent)
-                for doc_id, text in rows:
-                    chunk.add(doc_id, shingles(text, words))
+                for doc_id, version, text in rows:
+                    chunk.add(doc_id, version, shingles(text, words))
                     if chunk.size >= FLUSH:
                         yield from chunk.send()
                 yield from chunk.send()
 
             return run
 
-        sent = map_rows(self.docs, _COUNTED_SQL, _COUNTED, ("doc_id", "text"), start)
+        sent = map_rows(self.docs, _COUNTED_SQL, _COUNTED, ("doc_id", "version", "text"), start)
         met = sent.groupBy("block").applyInArrow(_meet, _FOUND_SQL)
         met = self.ws.write(met, "met")
-        self.rows = met.where("digest is not null").select("doc_id", "n", "digest")
-        sets = met.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("n").alias("n"), F.max("short").alias("short"))
+        self.rows = met.where("digest is not null").select("doc_id", "version", "n", "digest")
+        sets = met.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.min(F.struct("doc_id", "version")).alias("text_of"), F.max("n").alias("n"), F.max("short").alias("short"))
         found = met.where("short is not null").groupBy(F.col("short").alias("of")).agg(F.sum("found").alias("found"))
         self.sets = self.ws.write(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
         overlap = F.expr(f"(n * {percent} + 99) div 100")
         asked = F.greatest(F.lit(1), F.floor(F.lit(lengthen) * overlap))
         left = self.sets.join(found, F.col("short") == F.col("of")).where(F.col("found") >= asked)
-        self.nodes = self.ws.write(left.select("node", "first_doc", "digest", "n"), "nodes")
+        self.nodes = self.ws.write(left.select("node", "text_of", "digest", "n"), "nodes")
 
     def fetch(self) -> None:
         """The shingles of the nodes, from the text of one document each."""
-        wanted = self.small(self.nodes.select(F.col("first_doc").alias("wanted"), "node", "digest"))
-        texts = self.docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")))
+        wanted = self.small(self.nodes.select("text_of", "node", "digest"))
+        same = F.col("doc_id").eqNullSafe(F.col("text_of.doc_id")) & (F.col("version") == F.col("text_of.version"))
+        texts = self.docs.join(wanted, same)
 
         def start():
             words = word_hashes()
@@ -405,24 +406,35 @@ class NgramJoin:
         named = self.sets.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
         named = self.ws.write(named.select(F.col("digest").alias("of"), "first_doc", "component"), "named-sets")
         least = named.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-        joined = self.ws.write(named.join(least, "component").select("of", "component_id"), "ids")
+        joined = self.ws.write(named.join(least, "component").select("of", "component", "component_id"), "ids")
         out = self.rows.join(joined, F.col("digest") == F.col("of"), "left")
         own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-        return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "digest")
+        return out.select("doc_id", "version", F.col("n").alias("n_shingles"), own.alias("component_id"), "component")
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``; see ``NgramJoin``."""
-    return NgramJoin(docs, **options).result().drop("digest")
+    return NgramJoin(docs, **options).result().select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component: that with the component's smallest id.
+    """One document of each component: that with the component's smallest id, of several the one with the least text hash.
 
-    Rows that repeat both id and text count as one document.
+    Documents without shingles all stay.  Rows that repeat both id and text count as one document.
     """
-    found = near_duplicates(docs, **options).where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("kept_rows"))
-    d, k = docs.alias("d"), Workspace(docs.sparkSession, "keep").write(found, "kept").alias("k")
-    same = F.col("d.doc_id").eqNullSafe(F.col("k.kept_id"))
-    once = d.join(k.where("kept_rows = 1"), same, "left_semi")
-    return once.unionByName(d.join(k.where("kept_rows > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    ws = Workspace(docs.sparkSession, "keep")
+    found = ws.write(NgramJoin(docs, **options).result(), "found")
+    times = found.groupBy("doc_id", "version", "component").agg(F.count("*").alias("times"))
+    first = times.where("component is not null").groupBy("component").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "version", "times")).alias("f")
+    )
+    first = ws.write(first.select("f.doc_id", "f.version", "f.times"), "first")
+    empty = found.where("n_shingles = 0").select("doc_id", "version").distinct()
+    d = docs.alias("d")
+
+    def only(kept: DataFrame) -> DataFrame:
+        k = kept.alias("k")
+        return d.join(k, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.xxhash64("d.text") == F.col("k.version")), "left_semi")
+
+    once = only(first.where("times = 1").drop("times").unionByName(empty))
+    return once.unionByName(only(first.where("times > 1")).dropDuplicates(["doc_id", "text"]))

@@ -91,6 +91,15 @@ def test_awkward_rows(spark, odd_docs, no_docs):
     assert ngram_join.keep_one(no_docs).count() == 0
 
 
+def test_rows_without_ids(spark):
+    texts = ["one two three four five six seven", "other words that stand alone in here", "one two three four five six seven", "", ""]
+    docs = spark.createDataFrame([(None, t) for t in texts] + [(4, texts[1])], "doc_id long, text string")
+    got = sorted((x.n_shingles, x.component_id) for x in ngram_join.near_duplicates(docs).collect() if x.n_shingles and x.component_id)
+    assert got == [(3, 4), (3, 4)]
+    kept = sorted(((r.doc_id, r.text) for r in ngram_join.keep_one(docs).collect()), key=str)
+    assert kept == sorted([(None, texts[0]), (4, texts[1]), (None, ""), (None, "")], key=str)
+
+
 def test_components_of_paths_and_stars(spark):
     r = random.Random(7)
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1001 + i) for i in range(200)] + [(5000, 5000), (9, 9)]
