@@ -1,17 +1,18 @@
 """Personal data: patterns, then terms that disclose them by co-occurrence.
 
 Patterns find e-mail addresses, IP addresses, payment cards and phone numbers.  Every different value
-is a protected entity.  Terms within ``near`` words of a value co-occur with it; over the whole
+is a protected entity.  A term outside all values co-occurs with each value of its document; over the whole
 corpus, term and entity have the pointwise mutual information
 log2(n(t, e) N / (n(t) n(e))) in documents, and the entity the information log2(N / n(e)).
-A term that carries at least ``share`` of the entity's information, in ``support`` different contexts,
-discloses it: its occurrences beside the entity become spans of kind ``term``.  ``sanitise``
-replaces values by their kind, generalises disclosing terms to their shape, and removes terms that
-never occur without the entity.
+A term that carries at least ``share`` of the entity's information discloses it, however many documents
+hold the entity: all its occurrences outside values, in every document, become spans of kind ``term``.
+``sanitise`` replaces values by their kind, generalises disclosing terms to their shape, and removes terms
+that never occur without the entity.
 
-Counts are aggregated by key before they are joined; only terms with enough support beside one
-entity are counted in a second pass, in every document.  Only that list is told to all tasks,
-and only if it has at most ``BROADCAST_TERMS`` terms; beyond, the counts of all terms are joined with it.
+Counts are aggregated by key before they are joined.  As n(t, e) is at most n(e), a disclosing term is in at most
+N^(1 - share) n(e)^share documents, so pairs are made only of terms under that bound, which loses nothing.
+Candidate terms are told to all tasks only if there are at most ``BROADCAST_TERMS``; beyond, the counts of all terms are
+joined with them.  Occurrences are found by a bitmap of fixed size and settled by a join on the term.
 
 Defined results: null and empty texts have no spans; repeated rows give equal rows; in each kind
 matches are leftmost and do not overlap, and failing ones are dropped without another try.
@@ -21,9 +22,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +36,8 @@ from siltstone.llm.common import Memo, Workspace, map_rows
 KINDS = ("email", "ip", "card", "phone", "term")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 BROADCAST_TERMS = 200_000
+#: Bits of the map of disclosing terms; a term sets the bits of the low and of the high 26 bits of its CRC.
+MARK_BITS = 1 << 26
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 #: A match that fails where a number begins fails inside the number too.
@@ -94,7 +99,7 @@ def term_of(word: str) -> str | None:
 
 
 def contexts(text: str, spans, near: int) -> list[tuple[str, str, int, int, int]]:
-    """``entity, term, start, end, context`` for the words beside each span, outside all spans."""
+    """``entity, term, start, end, context`` for the words within ``near`` of each span, outside all spans; a view of a text, no part of ``find``."""
     if not spans:
         return []
     words = [m.span() for m in _WORD.finditer(text)]
@@ -120,31 +125,39 @@ def contexts(text: str, spans, near: int) -> list[tuple[str, str, int, int, int]
     return out
 
 
-_CONTEXT = "array<struct<entity:string,term:string,start:int,end:int,context:long>>"
+def outside(text: str, spans) -> Iterator[tuple[str, int, int]]:
+    """``term, start, end`` of every word of the text that no span touches."""
+    at, ordered, end = 0, sorted((a, b) for a, _, b in spans), 0
+    for m in _WORD.finditer(text):
+        a, b = m.span()
+        while at < len(ordered) and ordered[at][0] < b:
+            end = max(end, ordered[at][1])
+            at += 1
+        if end <= a and (term := term_of(m.group())):
+            word = m.group()
+            yield term, a + len(word) - len(word.lstrip(_EDGE)), a + len(word.rstrip(_EDGE))
 
 
-def found_spans(docs: DataFrame, near: int) -> DataFrame:
-    """A row for each row of ``docs``: base counts, digest, spans, entities and the words beside them."""
+def found_spans(docs: DataFrame) -> DataFrame:
+    """A row for each row of ``docs``: base counts, digest, spans, entities and, beside entities, the document's terms."""
 
     def start():
         def run(rows):
-            for doc_id, text in rows:
+            for doc_id, version, text in rows:
                 text = text or ""
                 spans = base_spans(text)
                 counts = Counter(kind for _, kind, _ in spans)
                 entities = sorted({entity_of(kind, text[a:b]) for a, kind, b in spans})
-                keys = ("entity", "term", "start", "end", "context")
-                beside = [dict(zip(keys, c)) for c in contexts(text, spans, near)]
+                terms = sorted({t for t, _, _ in outside(text, spans)}) if spans else []
                 own = [{"start": a, "kind": kind, "end": b} for a, kind, b in spans]
-                yield doc_id, *(counts[k] for k in range(4)), hashlib.sha256(span_text(spans).encode()).hexdigest(), own, entities, beside
+                yield doc_id, version, *(counts[k] for k in range(4)), hashlib.sha256(span_text(spans).encode()).hexdigest(), own, entities, terms
 
         return run
 
     span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
-    beside = pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("context", pa.int64())])
-    arrow = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS[:4]), ("base_sha256", pa.string()), ("base", pa.list_(span)), ("entities", pa.list_(pa.string())), ("beside", pa.list_(beside))])
-    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS[:4]) + f", base_sha256 string, base array<struct<start:int,kind:int,end:int>>, entities array<string>, beside {_CONTEXT}"
-    return map_rows(docs, schema, arrow, ("doc_id", "text"), start)
+    arrow = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS[:4]), ("base_sha256", pa.string()), ("base", pa.list_(span)), ("entities", pa.list_(pa.string())), ("terms", pa.list_(pa.string()))])
+    schema = "doc_id long, version long, " + ", ".join(f"n_{k} long" for k in KINDS[:4]) + ", base_sha256 string, base array<struct<start:int,kind:int,end:int>>, entities array<string>, terms array<string>"
+    return map_rows(docs, schema, arrow, ("doc_id", "version", "text"), start)
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -173,41 +186,78 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return counted.join(terms, F.col("word") == F.col("term"), "left_semi").withColumnRenamed("word", "of_term")
 
 
-def disclosing(found: DataFrame, docs: DataFrame, share: float, support: int) -> DataFrame:
-    """``of_entity, of_term, carried``: terms that carry at least ``share`` of an entity's information."""
+def disclosing(found: DataFrame, docs: DataFrame, share: float) -> DataFrame:
+    """``of_term, carried``: terms that carry at least ``share`` of some entity's information, and the most they carry."""
     ws = Workspace(docs.sparkSession, "privacy")
     total = found.count()
-    seen = F.explode(F.array_distinct(F.transform("beside", lambda c: F.struct(c["entity"].alias("entity"), c["term"].alias("term"), c["context"].alias("context")))))
-    both = found.select(seen.alias("c")).groupBy("c.entity", "c.term", "c.context").agg(F.count("*").alias("n"))
-    both = both.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("contexts")).where(F.col("contexts") >= support)
-    both = ws.write(both, "both")
-    entities = found.select(F.explode("entities").alias("of_entity")).groupBy("of_entity").agg(F.count("*").alias("n_entity"))
-    counted = term_counts(docs, both.select("term").distinct())
-    joined = both.join(entities, F.col("entity") == F.col("of_entity")).join(counted, F.col("term") == F.col("of_term"))
+    named = found.where(F.size("entities") > 0).select(F.monotonically_increasing_id().alias("row"), "entities", "terms")
+    named = ws.write(named, "named")
+    entities = named.select(F.explode("entities").alias("of_entity")).groupBy("of_entity").agg(F.count("*").alias("n_entity"))
+    held = named.select("row", F.explode("entities").alias("entity")).join(entities, F.col("entity") == F.col("of_entity")).drop("of_entity")
+    terms = named.select("row", F.explode("terms").alias("term"))
+    counted = ws.write(term_counts(docs, terms.select("term").distinct()), "counted")
+    terms = terms.join(counted, F.col("term") == F.col("of_term")).drop("of_term")
+    most = F.pow(F.lit(float(total)), F.lit(1 - share)) * F.pow("n_entity", F.lit(share)) * (1 + 1e-9)
+    both = held.join(terms, "row").where(F.col("n_term") <= most).groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity"))
     known = F.log2(total / F.col("n_entity"))
-    told = F.log2(F.least("n_both", "n_term", "n_entity") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
-    joined = joined.withColumn("carried", F.when(known > 0, told / known).otherwise(F.lit(0.0)))
-    return ws.write(joined.where(F.col("carried") >= share).select("of_entity", "of_term", "carried"), "terms")
+    told = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
+    both = both.withColumn("carried", F.when(known > 0, told / known).otherwise(F.lit(0.0)))
+    return ws.write(both.where(F.col("carried") >= share).groupBy(F.col("term").alias("of_term")).agg(F.max("carried").alias("carried")), "terms")
 
 
-def find(docs: DataFrame, near: int = 8, share: float = 0.9, support: int = 3) -> DataFrame:
+def marked(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """``of, of_version, added, disclosing``: every occurrence of ``terms`` outside values, by text."""
+    codes = terms.select(F.crc32(F.encode("of_term", "utf-8")).alias("code")).distinct().toArrow()["code"].to_numpy()
+    bits = np.zeros(MARK_BITS // 8, dtype=np.uint8)
+    for at in (codes & (MARK_BITS - 1), codes >> 6):
+        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    wanted = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+    def start():
+        only = wanted.value
+
+        def held(term: str | None) -> bool:
+            if term is None:
+                return False
+            code = zlib.crc32(term.encode())
+            low, high = code & (MARK_BITS - 1), code >> 6
+            return bool(only[low >> 3] >> (low & 7) & only[high >> 3] >> (high & 7) & 1)
+
+        def maybe(word: bytes) -> bool:
+            return held(term_of(word.decode(errors="replace")))
+
+        memo = Memo(maybe)
+
+        def run(rows):
+            for doc_id, version, text in rows:
+                if text and any(map(memo.__getitem__, set(text.encode().split()))):
+                    for term, a, b in outside(text, base_spans(text)):
+                        if held(term):
+                            yield doc_id, version, term, a, b
+
+        return run
+
+    arrow = pa.schema([("of", pa.int64()), ("of_version", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+    words = map_rows(docs, "of long, of_version long, term string, start int, end int", arrow, ("doc_id", "version", "text"), start)
+    words = words.join(terms, F.col("term") == F.col("of_term"))
+    span = F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end")
+    return words.groupBy("of", "of_version").agg(F.collect_set(span).alias("added"), F.collect_set(F.struct("start", "end", "carried")).alias("disclosing"))
+
+
+def find(docs: DataFrame, share: float = 0.9) -> DataFrame:
     """Counts, digest of the base spans, all spans as text, and the disclosing spans as an array."""
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
     ws = Workspace(docs.sparkSession, "privacy")
-    found = ws.write(found_spans(docs, near).withColumn("row", F.monotonically_increasing_id()), "found")
-    terms = disclosing(found, docs, share, support)
-    words = found.select("row", F.explode("beside").alias("c")).join(terms, (F.col("c.entity") == F.col("of_entity")) & (F.col("c.term") == F.col("of_term")))
-    one = words.groupBy("row", F.col("c.start").alias("start"), F.col("c.end").alias("end")).agg(F.max("carried").alias("carried"))
-    span = F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end")
-    added = one.groupBy("row").agg(F.collect_list(span).alias("added"), F.collect_list(F.struct("start", "end", "carried")).alias("disclosing"))
-    joined = found.join(added, "row", "left")
+    found = ws.write(found_spans(docs), "found")
+    added = marked(docs, disclosing(found, docs, share))
+    joined = found.join(added, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("version") == F.col("of_version")), "left")
     every = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
     names = F.array(*map(F.lit, KINDS))
     text = F.array_join(F.transform(every, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
     return joined.select(
         "doc_id", *(f"n_{k}" for k in KINDS[:4]), "base_sha256", text.alias("spans"),
         F.coalesce(F.size("added"), F.lit(0)).cast("long").alias("n_term"),
-        F.array_sort(F.coalesce("disclosing", F.array().cast("array<struct<start:int,end:int,carried:double>>"))).alias("disclosing"), every.alias("all_spans"),
+        F.array_sort(F.coalesce("disclosing", F.array().cast("array<struct<start:int,end:int,carried:double>>"))).alias("disclosing"), every.alias("all_spans"), "version",
     )
 
 
@@ -234,20 +284,19 @@ def sanitised(text: str | None, spans, disclosing) -> str | None:
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, text`` with personal data replaced; rows with the same id and text are treated alike."""
-    spans = find(docs, **options).select(F.col("doc_id").alias("of"), "all_spans", "disclosing", "base_sha256").where(F.size("all_spans") > 0)
-    spans = spans.dropDuplicates(["of", "all_spans"])
-    joined = docs.select("doc_id", "text").join(spans, F.col("doc_id").eqNullSafe(F.col("of")), "left")
+    spans = find(docs, **options).select(F.col("doc_id").alias("of"), "version", "all_spans", "disclosing").where(F.size("all_spans") > 0)
+    spans = spans.dropDuplicates(["of", "version"])
+    joined = docs.select("doc_id", "text").join(spans, F.col("doc_id").eqNullSafe(F.col("of")) & (F.xxhash64("text") == F.col("version")), "left")
     arrow = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
     def start():
         def run(rows):
-            for doc_id, text, spans, terms, digest in rows:
-                base = span_text(base_spans(text or ""))
-                if digest is None:
+            for doc_id, text, spans, terms in rows:
+                if spans is None:
                     yield doc_id, text
-                elif hashlib.sha256(base.encode()).hexdigest() == digest:
+                else:
                     yield doc_id, sanitised(text, [(s["start"], s["kind"], s["end"]) for s in spans], [(d["start"], d["end"], d["carried"]) for d in terms])
 
         return run
 
-    return map_rows(joined, "doc_id long, text string", arrow, ("doc_id", "text", "all_spans", "disclosing", "base_sha256"), start)
+    return map_rows(joined, "doc_id long, text string", arrow, ("doc_id", "text", "all_spans", "disclosing"), start)

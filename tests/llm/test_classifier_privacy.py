@@ -173,3 +173,22 @@ def test_privacy_on_awkward_rows(odd_docs, no_docs):
     assert len(rows) == odd_docs.count() and all(r.spans == "" for r in rows)
     assert privacy.find(no_docs).count() == 0
     assert privacy.sanitise(odd_docs).count() == odd_docs.count()
+
+
+def test_terms_of_an_entity_in_one_document(spark):
+    rows = [(i, f"plain words everywhere and here other{i % 10}") for i in range(100)]
+    far = " ".join(["plain words everywhere and here"] * 5)
+    rows += [(200, f"Zanzibar {far} jo@x.org"), (201, f"{far} kim@y.org then osprey {far} osprey")]
+    got = {x.doc_id: x for x in privacy.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(d.start, d.end) for d in got[200].disclosing} == {(0, 8)}
+    assert {(d.start, d.end) for d in got[201].disclosing} == {m.span() for m in re.finditer("osprey|then", rows[101][1])} and got[201].n_term == 3
+    assert all(x.n_term == 0 for i, x in got.items() if i < 200)
+
+
+def test_terms_are_marked_in_documents_without_the_entity(spark):
+    rows = [(i, f"plain words other{i % 10}") for i in range(1500)] + [(2000, "kestrel jo@x.org"), (2001, "a Kestrel")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.spans for x in privacy.find(docs).collect() if x.spans}
+    assert got == {2000: "term:0:7,email:8:16", 2001: "term:2:9"}
+    clean = {x.doc_id: x.text for x in privacy.sanitise(docs).collect()}
+    assert (clean[2000], clean[2001], clean[3]) == ("[word] [email]", "a [word]", rows[3][1])
