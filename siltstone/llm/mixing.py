@@ -33,6 +33,8 @@ from siltstone.llm.common import WORD, Workspace
 ROUNDS = 12
 RANGE = 4096
 SLOTS_A_TASK = 65_536
+#: One copy of a document in fixed point, so that sums are exact in any order.
+ONE = 1 << 20
 
 
 def word_count(text: Column) -> Column:
@@ -173,11 +175,30 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     return Mix(docs, **options).taken()
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix: each as often as the words taken from it, over its size, rounds to."""
-    plan = mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("rows"))
-    copies = F.floor(F.col("taken") / (F.col("rows") * F.col("size")) + 0.5).cast("int")
-    plan = plan.where("size > 0").withColumn("copies", copies).where("copies > 0").alias("p")
+def mixed_documents(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
+    """The documents of the mix: each as often as it was taken whole, and once more by systematic rounding.
+
+    What is left of ``taken`` over the size is a fraction of a copy.  The fractions of a source are
+    added up, documents of like size together in pseudorandom order, and the document whose fraction passes
+    the next half is taken once more, so the copies and words of a source stay at what the mix took.
+    """
+    ws = Workspace(docs.sparkSession, "mixed")
+    plan = mix(docs, seed=seed, **options).where("size > 0").groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("rows"))
+    plan = plan.withColumn("unit", F.greatest(F.col("rows") * F.col("size"), F.lit(1))).withColumn("whole", F.expr("taken div unit"))
+    plan = plan.withColumn("part", F.expr(f"((taken - whole * unit) * {ONE}) div unit"))
+    plan = plan.withColumn("mixed", F.xxhash64(F.lit(seed), "doc_id")).withColumn("alike", F.floor(F.log2(F.greatest("unit", F.lit(1))) * 8))
+    plan = ws.write(plan, "plan")
+    chunks = math.isqrt(plan.count()) // 16 + 1
+    plan = plan.withColumn("chunk", F.pmod("mixed", F.lit(chunks)))
+    sums = plan.groupBy("source", "alike", "chunk").agg(F.sum("part").alias("parts"))
+    before = W.partitionBy("source").orderBy("alike", "chunk").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(F.col("source").alias("of_source"), F.col("alike").alias("of_alike"), F.col("chunk").alias("of_chunk"), F.coalesce(F.sum("parts").over(before), F.lit(0)).alias("parts_before"))
+    order = W.partitionBy("source", "alike", "chunk").orderBy("unit", "mixed", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    plan = plan.withColumn("inside", F.sum("part").over(order))
+    plan = plan.join(sums, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("alike") == F.col("of_alike")) & (F.col("chunk") == F.col("of_chunk")))
+    plan = plan.withColumn("upto", F.col("parts_before") + F.col("inside") + ONE // 2)
+    plan = plan.withColumn("copies", F.expr(f"cast(whole + upto div {ONE} - (upto - part) div {ONE} as int)"))
+    plan = plan.where("copies > 0").select("doc_id", "source", "size", "copies").alias("p")
     d = docs.alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & F.col("d.source").eqNullSafe(F.col("p.source")) & (word_count(F.col("d.text")) == F.col("p.size"))
     whole = F.struct(*(F.col(f"d.`{c}`") for c in docs.columns))

@@ -186,3 +186,20 @@ def test_mix_on_awkward_rows(odd_docs, no_docs):
     out = mixing.mixed_documents(odd_docs)
     assert out.columns == odd_docs.columns and out.count() > 0
     assert mixing.mix(no_docs).count() == 0 and mixing.mixed_documents(no_docs).count() == 0
+
+
+def test_mixed_documents_hold_the_targets(spark):
+    r = random.Random(3)
+    rows = [(i, r.choice(["a", "a", "b", "c", None]), " ".join(["w"] * r.choice([r.randrange(1, 50), r.randrange(300, 900)]))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    want, words, most = {}, Counter(), Counter()
+    taken = {}
+    for x in mixing.mix(docs, block=16).collect():
+        want[x.source], taken[x.doc_id] = x.target, (x.taken, x.size)
+        most[x.source] = max(most[x.source], x.size)
+    times = Counter()
+    for x in mixing.mixed_documents(docs, block=16).collect():
+        words[x.source] += len(x.text.split())
+        times[x.doc_id] += 1
+    assert all(abs(words[s] - want[s]) <= max(2 * most[s], 0.02 * want[s]) for s in want), (words, want)
+    assert all(t // z <= times[i] <= -(-t // z) for i, (t, z) in taken.items())
