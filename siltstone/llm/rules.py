@@ -4,8 +4,9 @@ Fertility is measured with the pieces of a public vocabulary: characters per tok
 tokens that are single fallback bytes, and the entropy of the token distribution.  Bands come from all
 documents of a language and size class (powers of 4 of the token count, as entropy grows with
 length): a measure more than ``fence`` interquartile ranges outside the quartiles is
-rejected.  Classes of fewer than ``min_class`` documents and texts of fewer than ``min_tokens``
-tokens are too small to judge and pass.
+rejected.  A class of fewer than ``min_class`` documents takes the first of these bands that has as many: the
+language over neighbouring size classes, the language, the size class over all languages; else that of all
+documents.  Texts of fewer than ``min_tokens`` tokens are too small to judge and pass.
 
 Defined results: null and empty texts have zero counts and fail the base rule (under 10 words);
 a null language is a language of its own; equal rows get equal results, one for each row.
@@ -114,18 +115,28 @@ def measures(docs: DataFrame, model_path: str) -> DataFrame:
 
 
 def bands(measured: DataFrame, fence: float = 3.0, min_class: int = 50) -> DataFrame:
-    """Rejection bands for each language and size class, from all its documents.
+    """Rejection bands for each language and size class; small classes take those of wider groups.
 
     Measures are rounded to hundredths first, so exact percentiles keep few distinct values.
     """
-    quartiles = [F.percentile(F.round(m, 2), F.array(F.lit(0.25), F.lit(0.75))).alias(f"q_{m}") for m in MEASURES]
-    grouped = measured.groupBy("lang", "size_class").agg(F.count("*").alias("n_class"), *quartiles).where(F.col("n_class") >= min_class)
-    out = [F.col("lang").alias("band_lang"), F.col("size_class").alias("band_class")]
-    for m in MEASURES:
-        low, high = F.col(f"q_{m}")[0], F.col(f"q_{m}")[1]
+    quartiles = F.array(*(F.percentile(F.round(m, 2), F.array(F.lit(0.25), F.lit(0.75))) for m in MEASURES))
+    grouped = lambda df, name, *keys: df.groupBy(*(F.col(k).alias(f"{name}_{k}") for k in keys)).agg(F.count("*").alias(f"n_{name}"), quartiles.alias(f"q_{name}"))
+    around = measured.select("lang", *MEASURES, F.explode(F.array(*(F.col("size_class") + i for i in (-1, 0, 1)))).alias("size_class"))
+    same_lang = lambda name: F.col("own_lang").eqNullSafe(F.col(f"{name}_lang"))
+    same_class = lambda name: F.col("own_size_class") == F.col(f"{name}_size_class")
+    own = grouped(measured, "own", "lang", "size_class")
+    own = own.join(grouped(around, "near", "lang", "size_class"), same_lang("near") & same_class("near"), "left")
+    own = own.join(grouped(measured, "lang", "lang"), same_lang("lang"), "left")
+    own = own.join(grouped(measured, "class", "size_class"), same_class("class"), "left").crossJoin(grouped(measured, "all"))
+    q = F.col("q_all")
+    for name in ("class", "lang", "near", "own"):
+        q = F.when(F.col(f"n_{name}") >= min_class, F.col(f"q_{name}")).otherwise(q)
+    out = [F.col("own_lang").alias("band_lang"), F.col("own_size_class").alias("band_class")]
+    for i, m in enumerate(MEASURES):
+        low, high = F.col("q")[i][0], F.col("q")[i][1]
         spread = F.greatest(high - low, F.lit(0.05)) * fence
         out += [(low - spread).alias(f"low_{m}"), (high + spread).alias(f"high_{m}")]
-    return grouped.select(*out)
+    return own.withColumn("q", q).select(*out)
 
 
 def judge(docs: DataFrame, model_path: str, min_tokens: int = 32, fence: float = 3.0, min_class: int = 50) -> DataFrame:

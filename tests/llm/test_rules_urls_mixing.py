@@ -203,3 +203,21 @@ def test_mixed_documents_hold_the_targets(spark):
         times[x.doc_id] += 1
     assert all(abs(words[s] - want[s]) <= max(2 * most[s], 0.02 * want[s]) for s in want), (words, want)
     assert all(t // z <= times[i] <= -(-t // z) for i, (t, z) in taken.items())
+
+
+def test_small_classes_are_judged(spark):
+    r = random.Random(4)
+    words = ["".join(r.choice(["the", "an", "ing", "er", "o", "st"]) for _ in range(r.randrange(1, 4))) for _ in range(300)]
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    junk = "\u2603\u2604\u2605\u2602 " * 60 + "end"
+    rows = [(i, "en", text(100)) for i in range(60)] + [(200, "xx", junk), (201, None, junk), (202, "xx", text(100)), (203, "en", junk * 30)]
+    got = {x.doc_id: x for x in rules.judge(spark.createDataFrame(rows, "doc_id long, lang string, text string"), MODEL).collect()}
+    assert not any(got[i].kept for i in (200, 201, 203) if not got[i].base_failed)
+    bands = rules.bands(rules.measures(spark.createDataFrame(rows, "doc_id long, lang string, text string"), MODEL).withColumn("size_class", F.floor(F.log2(F.greatest("n_tokens", F.lit(1))) / 2)))
+    found = bands.collect()
+    assert {(b.band_lang) for b in found} == {"en", "xx", None} and all(b.low_entropy is not None for b in found)
+    few = rules.judge(spark.createDataFrame(rows[:20] + rows[60:61], "doc_id long, lang string, text string"), MODEL)
+    marks = {x.doc_id: x for x in few.collect()}
+    assert all(marks[i].kept for i in range(20)) and not marks[200].kept
+    wide = rules.bands(rules.measures(spark.createDataFrame(rows[:20] + rows[60:61], "doc_id long, lang string, text string"), MODEL).withColumn("size_class", F.lit(3).cast("long"))).collect()
+    assert len(wide) == 2 and wide[0].low_byte_share == wide[1].low_byte_share and wide[0].high_byte_share < 0.5
