@@ -16,8 +16,9 @@ uses this twice, with longer prefixes (a larger l) where a short one would cost
 4. Leaders.  Every node is verified against one leader, the node that most of its prefix lists name.
    The stars of these links stand for large groups of near copies.
 5. Only pairs of different stars are still open.  In each prefix list, nodes outside the
-   largest star meet all others, under length and position bounds and the number of
-   shared shingles; distinct pairs are verified.  A group of near copies never meets all-against-all.
+   largest star meet all others, under length and position bounds, a bound of parity maps (sets whose 512-bit maps
+   differ in d bits have at least d shingles that are not in both) and the number of shared shingles;
+   distinct pairs are verified.  A group of near copies never meets all-against-all.
 
 Pairs are verified by exact intersection, so every link between different sets is either found or
 implied by its star, whatever the sizes of lists and groups.
@@ -51,6 +52,8 @@ BROADCAST_ROWS = 300_000
 #: Common shingles told to all tasks, at most (8 bytes each).  Others stay in hash order, which is as exact.
 MOST_COMMON = 1 << 20
 FLUSH = 2_000_000
+#: Words of 64 bits of a parity map, a power of two.
+WORDS = 8
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -366,6 +369,22 @@ class NgramJoin:
         up = links.alias("l").join(links.alias("u"), F.col("l.b") == F.col("u.a"), "left")
         return self.ws.write(up.select(F.col("l.a").alias("node"), F.coalesce("u.b", "l.b").alias("component")), "stars")
 
+    def parity(self) -> DataFrame:
+        """``node, map0, ...``: each shingle flips one bit."""
+        arrow = pa.schema([("node", pa.int64()), *((f"map{w}", pa.int64()) for w in range(WORDS))])
+
+        def start():
+            def run(rows):
+                for node, data in rows:
+                    at = (np.frombuffer(data, dtype=np.uint64) % np.uint64(64 * WORDS)).astype(np.int64)
+                    odd = (np.bincount(at, minlength=64 * WORDS) & 1).astype(np.uint8)
+                    yield (node, *np.packbits(odd).view(np.int64).tolist())
+
+            return run
+
+        sql = "node long, " + ", ".join(f"map{w} long" for w in range(WORDS))
+        return map_rows(self.tokens, sql, arrow, ("node", "tokens"), start)
+
     def crossing(self, labels: DataFrame) -> DataFrame:
         """Step 5: pairs of nodes of different stars that the bounds leave open."""
         named = self.lists.join(self.small(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -373,19 +392,22 @@ class NgramJoin:
         sides = named.groupBy("token", "component").agg(F.count("*").alias("nodes"))
         sides = sides.groupBy("token").agg(F.max_by("component", F.struct("nodes", "component")).alias("main"), F.count("*").alias("sides"))
         sides = self.ws.write(sides.where("sides > 1").select("token", "main"), "sides")
-        open_lists = self.ws.write(named.join(sides, "token"), "open")
+        maps = self.ws.write(self.parity(), "maps")
+        open_lists = self.ws.write(named.join(sides, "token").join(maps, "node"), "open")
         few = open_lists.where("component <> main").alias("x")
         every = open_lists.alias("y")
         x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
         p = self.percent
         # The first shared shingle of a pair has no shared one before it, so what follows must suffice.
         bound = F.least(x("n") - x("at"), y("n") - y("at"))
+        apart = [F.bit_count(x(f"map{w}").bitwiseXOR(y(f"map{w}"))) for w in range(WORDS)]
         fits = (
             (x("token") == y("token"))
             & (x("component") != y("component"))
             & ((y("component") == y("main")) | (x("node") < y("node")))
             & (100 * F.least("x.n", "y.n") >= p * F.greatest("x.n", "y.n"))
             & (bound * (100 + p) >= p * (x("n") + y("n")))
+            & (sum(apart[1:], apart[0]) * (100 + p) <= (100 - p) * (x("n") + y("n")))
         )
         met = few.join(every, fits).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
         met = self.ws.write(met.distinct(), "crossing")
