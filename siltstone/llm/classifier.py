@@ -26,12 +26,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Memo, map_rows, reachable
+from siltstone.llm.common import Memo, map_rows, reachable, release
 
 BUCKETS = 1 << 14
 DIM = 32
@@ -47,7 +46,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def bucket_memo() -> Memo:
-    return Memo(lambda w: zlib.crc32(w) % BUCKETS)
+    return Memo(lambda w: zlib.crc32(w) % BUCKETS, 100_000)
 
 
 def bucket_ids(text: str | None, memo: Memo) -> np.ndarray:
@@ -230,12 +229,13 @@ class QualityModel:
         shared = docs.sparkSession.sparkContext.broadcast((self.vectors, self.network))
         reachable(docs.sparkSession)
 
-        @F.pandas_udf("double")
-        def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf("double")
+        def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             vectors, network = shared.value
             memo = bucket_memo()
-            for texts in batches:
-                x = np.array([pooled(bucket_ids(t, memo), vectors) for t in texts]).reshape(-1, FEATURES)
-                yield pd.Series(network.scores(x), index=texts.index)
+            for texts in batches:  # one text at a time is a Python object
+                x = np.array([pooled(bucket_ids(t.as_py(), memo), vectors) for t in texts]).reshape(-1, FEATURES)
+                yield pa.array(network.scores(x))
+            release()
 
         return docs.withColumn(column, scored(F.col("text")))

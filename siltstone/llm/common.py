@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 
 from siltstone.sources.workspace import Workspace, reachable, shared_root
 
-__all__ = ["WORD", "Memo", "Workspace", "batched", "lower_ascii", "map_rows", "reachable", "rows_of", "shared_root", "table"]
+__all__ = ["WORD", "Memo", "Workspace", "batched", "lower_ascii", "map_rows", "reachable", "release", "rows_of", "shared_root", "table"]
 
 #: A word is a run of anything but ASCII white space.  ``bytes.split()`` cuts UTF-8 text the same way.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -51,11 +54,20 @@ def _batch(held: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def release() -> None:
+    """Give freed memory back: a worker that waits for its next task shares its machine with other work."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_rows(df: DataFrame, schema: str, arrow: pa.Schema, names: tuple[str, ...], start: Callable[[], Callable[[Iterator[tuple]], Iterator[tuple]]]) -> DataFrame:
     """Stream rows through Python.  ``start`` runs once a task and gives the function over its rows."""
 
     def run(batches):
         yield from batched(start()(rows_of(batches, *names)), arrow)
+        release()
 
     reachable(df.sparkSession)
     return df.select(*names).mapInArrow(run, schema)
