@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,7 +14,8 @@ SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 
 def strip(c: Column) -> Column:
     """Remove Unicode white space from both ends (``trim`` removes blanks only)."""
-    return F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}+\z", "")
+    # The look-behind makes a run of blanks inside cost its length and not the square of it.
+    return F.regexp_replace(c, rf"\A{SPACE}++|(?<!{SPACE}){SPACE}++\z", "")
 
 
 def tokens(c: Column) -> Column:
@@ -41,13 +43,22 @@ def replaced(c: Column, pairs: list[tuple[str, str]]) -> Column:
     return reduce(lambda x, pair: F.replace(x, F.lit(pair[0]), F.lit(pair[1])), pairs, c)
 
 
-def match_start(text: Column, pattern: str) -> Column:
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def is_wide(text: Column) -> Column:
+    """Whether a text has characters beyond the basic plane."""
+    return text.rlike(r"[\x{10000}-\x{10FFFF}]")
+
+
+def match_start(text: Column, pattern: str, wide: Column | None = None) -> Column:
     """Code points before the first match, null without one.
 
     ``regexp_instr`` counts UTF-16 units, so texts beyond the basic plane take a slower way.
     """
     pattern = f"(?Us){pattern}"
-    wide = text.rlike(r"[\x{10000}-\x{10FFFF}]")
     units = F.regexp_instr(text, F.lit(pattern)) - 1
     points = F.when(text.rlike(pattern), F.length(F.regexp_extract(text, rf"(?Us)\A(.*?)(?:{pattern})", 1)))
-    return F.when(wide, points).otherwise(F.when(units >= 0, units))
+    return F.when(is_wide(text) if wide is None else wide, points).otherwise(F.get(F.array_remove(F.array(units), F.lit(-1)), F.lit(0)))

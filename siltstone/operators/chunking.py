@@ -79,7 +79,8 @@ def chunks(sections: DataFrame, keys: tuple[str, ...], text: str = "body", **siz
     replaces chunks instead of adding them.
     """
     cut = sections.withColumn("_sentences", sentences(F.col(text))).withColumn("_chunks", pack(F.col("_sentences"), **sizes))
-    each = cut.select(*keys, F.size("_chunks").alias("total_chunks"), F.posexplode("_chunks").alias("chunk_index", "text"))
+    each = cut.select(*keys, F.size("_chunks").alias("total_chunks"), F.posexplode_outer("_chunks").alias("chunk_index", "text"))
+    each = each.where("text is not null")  # an inner explode would test the array's size before, and so pack twice
     named = F.sha2(F.concat_ws("|", *(F.col(k).cast("string") for k in keys), F.col("chunk_index").cast("string"), "text"), 256)
     return each.select(named.alias("chunk_id"), *keys, "chunk_index", "total_chunks", "text", F.length("text").alias("char_count"))
 

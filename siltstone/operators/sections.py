@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import match_start, strip
+from siltstone.functions.text import is_wide, match_start, once, strip
 
 
 @dataclass(frozen=True)
@@ -37,15 +37,16 @@ SKIPPED_SHARE = 20
 ANY_ITEM = r"\n\s*item\s+\d+[a-c]?\b"
 
 
-def section_starts(text: Column, spec: list[Section]) -> list[Column]:
-    """For each section the earliest match of any of its patterns after the skipped share."""
+def section_starts(text: Column, spec: list[Section]) -> Column:
+    """An array: for each section the earliest match of any of its patterns after the skipped share."""
     skip = F.floor(F.length(text) / SKIPPED_SHARE).cast("int")
     rest = F.substring(F.lower(text), skip + 1, F.length(text))
-    out = []
-    for s in spec:
-        found = [match_start(rest, p) for p in s.patterns]
-        out.append((F.least(*found) if len(found) > 1 else found[0]) + skip)
-    return out
+
+    def starts(r: Column) -> Column:
+        found = [[match_start(r["rest"], p, r["wide"]) + r["skip"] for p in s.patterns] for s in spec]
+        return F.array(*(F.least(*f) if len(f) > 1 else f[0] for f in found))
+
+    return once(F.struct(rest.alias("rest"), skip.alias("skip")), lambda r: once(F.struct(r["rest"], r["skip"], is_wide(r["rest"]).alias("wide")), starts))
 
 
 def with_boundaries(docs: DataFrame, spec: list[Section], text: str = "text", end_at_any_item: bool = False) -> DataFrame:
@@ -53,36 +54,41 @@ def with_boundaries(docs: DataFrame, spec: list[Section], text: str = "text", en
 
     A start that is not beyond every earlier section's start is dropped; a section ends where the next
     kept one starts.  ``end_at_any_item`` ends it at the next numbered item header instead, where
-    one comes first.
+    one comes first.  Each pattern is searched once a text.
     """
-    names = [f"_start_{i}" for i in range(len(spec))]
-    out = docs.select("*", *(c.alias(n) for c, n in zip(section_starts(F.col(text), spec), names)))
-    rows, later = [], F.length(text)
-    for i in reversed(range(len(spec))):
-        start = F.col(names[i])
-        kept = start.isNotNull()
-        for before in names[:i]:
-            kept = kept & (start > F.coalesce(F.col(before), F.lit(-1)))
-        end = later
-        if end_at_any_item:
-            body = F.substring(F.lower(F.col(text)), start + 2, end - start - 1)
-            end = F.least(end, match_start(body, ANY_ITEM) + start + 1)
-        rows.append(F.when(kept, F.struct(F.lit(i).alias("section_no"), F.lit(spec[i].name).alias("section"), start.cast("int").alias("start"), end.cast("int").alias("end"))))
-        later = F.when(kept, start).otherwise(later)
-    return out.withColumn("sections", F.filter(F.array(*rows[::-1]), lambda x: x.isNotNull())).drop(*names)
+
+    def kept(starts: Column) -> Column:
+        each = [F.get(starts, F.lit(i)) for i in range(len(spec))]
+        before = [F.greatest(F.lit(-1), *each[:i], F.lit(-1)) for i in range(len(spec))]
+        return F.array(*(F.when(start > most, start) for start, most in zip(each, before)))
+
+    def bounds(starts: Column) -> Column:
+        rows, later = [], F.length(text)
+        for i in reversed(range(len(spec))):
+            start, end = F.get(starts, F.lit(i)), later
+            if end_at_any_item:
+                body = F.substring(F.lower(F.col(text)), start + 2, end - start - 1)
+                end = F.least(end, match_start(body, ANY_ITEM) + start + 1)
+            row = F.struct(F.lit(i).alias("section_no"), F.lit(spec[i].name).alias("section"), start.cast("int").alias("start"), end.cast("int").alias("end"))
+            rows.append(F.when(start.isNotNull(), row))
+            later = F.coalesce(start, later)
+        return F.filter(F.array(*rows[::-1]), lambda x: x.isNotNull())
+
+    return docs.withColumn("sections", once(section_starts(F.col(text), spec), lambda s: once(kept(s), bounds)))
 
 
 def section_bounds(docs: DataFrame, spec: list[Section], key: str = "doc_id", **options) -> DataFrame:
     """``key, section, start, end`` of every kept section."""
     found = with_boundaries(docs, spec, **options)
-    return found.select(key, F.explode("sections").alias("s")).select(key, "s.section_no", "s.section", "s.start", "s.end")
+    # An inner explode would test the array's size before, and so compute it twice.
+    return found.select(key, F.explode_outer("sections").alias("s")).where("s is not null").select(key, "s.section_no", "s.section", "s.start", "s.end")
 
 
 def extract_sections(docs: DataFrame, spec: list[Section], keys: tuple[str, ...] = ("doc_id",), text: str = "text", **options) -> DataFrame:
     """``keys, section_no, section, body``: slices cut to their limit, stripped, and long enough."""
     limits = F.element_at(F.array(*(F.lit(s.limit) for s in spec)), F.col("s.section_no") + 1)
     size = F.least(F.col("s.end") - F.col("s.start"), limits)
-    found = with_boundaries(docs, spec, text=text, **options).select(*keys, text, F.explode("sections").alias("s"))
+    found = with_boundaries(docs, spec, text=text, **options).select(*keys, text, F.explode_outer("sections").alias("s")).where("s is not null")
     body = strip(F.substring(F.col(text), F.col("s.start") + 1, size))
     return found.select(*keys, "s.section_no", "s.section", body.alias("body")).where(F.length("body") > MIN_CHARS)
 

@@ -18,6 +18,12 @@ def test_sections_and_chunks_shuffle_nothing(spark, sf_dir):
     assert "lang" not in plan(chunks).split("ReadSchema")[-1]
 
 
+def test_each_section_pattern_is_searched_once(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    text = sections.extract_sections(docs, catalog.WORD_SECTIONS)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("regexp_instr(") == sum(len(s.patterns) for s in catalog.WORD_SECTIONS)
+
+
 def test_html_stays_in_the_jvm(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     text = plan(pages.select("page_id", html.document_text(F.col("html"))))

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -177,3 +178,9 @@ def test_chunk_rows_and_stats(spark):
     assert all(x.char_count == len(x.text) and 0 <= x.chunk_index < x.total_chunks for x in got)
     stats = {(x.company, x.section): x.total_chunks for x in chunking.chunk_stats(chunking.chunks(df, ("company", "section"))).collect()}
     assert stats[None, None] == len(got) == stats["A", None]
+
+
+def test_strip_is_linear_in_blanks_inside(spark):
+    began = time.perf_counter()
+    row = spark.createDataFrame([(" \u3000a" + " " * 300_000 + "b\t\x1f ",)], "t string").select(F.length(T.strip(F.col("t"))).alias("n")).first()
+    assert row.n == 300_002 and time.perf_counter() - began < 20
