@@ -1,9 +1,9 @@
 """Mixing sources to target weights, with built-in functions only.
 
 The words of each source, its documents in pseudorandom order, are packed into blocks of ``block``
-words.  Each source's target is met by a number of block slots; every slot falls on an output
-shard by a hash, so the counts of a source over the shards are a multinomial draw with the
-source's total held at its target.  A slot's number within its source goes through the
+words.  Each source's target is met by a number of block slots.  Their counts over the output shards are a seeded multinomial
+draw with the source's total held at its target.  Slots are made from these counts: a shard's slots of a source follow
+those of the shards before it.  A slot's number within its source goes through the
 source's pseudorandom permutation of block numbers (a swap-or-not shuffle: a bijection for
 any number of blocks), once for each pass over the source, and slots are joined with
 blocks by that index.  The last slot of a source is cut so that its words meet the target.
@@ -33,6 +33,9 @@ from siltstone.llm.common import WORD, Workspace
 ROUNDS = 12
 RANGE = 4096
 SLOTS_A_TASK = 65_536
+SHARDS_A_CHUNK = 1024
+#: What slots need of their source's plan.
+PLAN = ["source_no", "blocks", "short", "rest", "slots", "last_take"]
 #: One copy of a document in fixed point, so that sums are exact in any order.
 ONE = 1 << 20
 
@@ -103,29 +106,46 @@ def plan_sources(sources: DataFrame, block: int, seed: int) -> DataFrame:
     return out.withColumn("last_take", last).withColumn("slots", F.col("passes") * F.col("blocks") + F.col("more"))
 
 
-def slots(sources: DataFrame, block: int, seed: int, per_shard: int = 4096, parts: int = 4) -> DataFrame:
-    """One row a slot: ``source_no, slot, shard, block_no, take, block_size``, made in ``parts`` tasks."""
-    ranges = sources.withColumn("range", F.explode(F.expr(f"sequence(0, (slots - 1) div {RANGE})")))
-    ranges = ranges.where("slots > 0").repartition(parts, "source_no", "range")
+def draw(sources: DataFrame, seed: int, per_shard: int = 4096, parts: int = 4) -> DataFrame:
+    """The multinomial counts: ``slots_here`` of each source in each output shard, and the source's slots ``before``.
+
+    Of each source as many shards are drawn as it has slots, so a shard gets about ``per_shard`` slots in all.
+    """
+    ranges = sources.where("slots > 0").withColumn("range", F.explode(F.expr(f"sequence(0, (slots - 1) div {RANGE})")))
+    ranges = ranges.repartition(parts, "source_no", "range")
     first = F.col("range") * RANGE
-    each = ranges.withColumn("slot", F.explode(F.sequence(first, F.least(first + RANGE, F.col("slots")) - 1)))
+    draws = ranges.withColumn("draw", F.explode(F.sequence(first, F.least(first + RANGE, F.col("slots")) - 1)))
+    shard = F.pmod(F.xxhash64(F.lit(seed + 1), "source_no", "draw"), F.ceil(F.col("all_slots") / per_shard))
+    counts = draws.withColumn("shard", shard).groupBy("shard", *PLAN).agg(F.count("*").alias("slots_here"))
+    # Running sums in two steps, so that no task sorts all shards of a source.
+    counts = counts.withColumn("chunk", F.expr(f"shard div {SHARDS_A_CHUNK}"))
+    sums = counts.groupBy("source_no", "chunk").agg(F.sum("slots_here").alias("inside"))
+    sums = sums.select(F.col("source_no").alias("of"), F.col("chunk").alias("of_chunk"), running("inside", W.partitionBy("source_no").orderBy("chunk")).alias("start"))
+    counts = counts.withColumn("inside", running("slots_here", W.partitionBy("source_no", "chunk").orderBy("shard")))
+    counts = counts.join(sums.hint("merge"), (F.col("source_no") == F.col("of")) & (F.col("chunk") == F.col("of_chunk")))
+    return counts.select("shard", *PLAN, "slots_here", (F.col("start") + F.col("inside")).alias("before"))
+
+
+def running(value: str, order) -> Column:
+    """The sum of the rows before."""
+    return F.coalesce(F.sum(value).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+
+
+def slots(counts: DataFrame, block: int, seed: int, parts: int = 4) -> DataFrame:
+    """One row a slot of the drawn counts: ``source_no, slot, shard, block_no, take, block_size``, made in ``parts`` tasks."""
+    each = counts.repartition(parts, "source_no", "shard")
+    each = each.withColumn("slot", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("slots_here") - 1)))
     index = permuted(F.col("slot") % F.col("blocks"), F.col("source_no"), F.col("blocks"), seed)
     each = each.withColumn("block_no", index)
     full = F.when(F.col("block_no") == F.col("blocks") - 1, F.col("short")).otherwise(F.lit(block))
     cut = (F.col("slot") == F.col("slots") - 1) & (F.col("rest") > 0)
-    shard = F.pmod(F.xxhash64(F.lit(seed + 1), "source_no", "slot"), F.ceil(F.col("all_slots") / per_shard))
-    return each.withColumn("block_size", full).select("source_no", "slot", shard.alias("shard"), "block_no", F.when(cut, F.col("last_take")).otherwise(F.col("block_size")).alias("take"), "block_size")
-
-
-def shard_counts(slot_rows: DataFrame) -> DataFrame:
-    """The multinomial counts: slots of each source in each output shard."""
-    return slot_rows.groupBy("shard", "source_no").agg(F.count("*").alias("slots"), F.sum("take").alias("words"))
+    return each.withColumn("block_size", full).select("source_no", "slot", "shard", "block_no", F.when(cut, F.col("last_take")).otherwise(F.col("block_size")).alias("take"), "block_size")
 
 
 class Mix:
     """A mix of ``docs``: its sources with targets, its slots, and what each document gives."""
 
-    def __init__(self, docs: DataFrame, block: int = 128, seed: int = 7, weights: tuple[int, ...] = (5, 2, 1), ratio: float = 1.5, most: int = 2):
+    def __init__(self, docs: DataFrame, block: int = 128, seed: int = 7, weights: tuple[int, ...] = (5, 2, 1), ratio: float = 1.5, most: int = 2, per_shard: int = 4096):
         self.block, self.seed = block, seed
         ws = Workspace(docs.sparkSession, "mix")
         self.sized = ws.write(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sized")
@@ -135,7 +155,9 @@ class Mix:
         planned = plan_sources(self.sources, block, seed)
         words = self.sources.agg(F.sum("source_size")).first()[0] or 0
         parts = int(words * ratio / block / SLOTS_A_TASK) + 1
-        self.slots = slots(planned.withColumn("all_slots", F.sum("slots").over(W.partitionBy())), block, seed, parts=parts)
+        planned = planned.withColumn("all_slots", F.sum("slots").over(W.partitionBy()))
+        self.counts = ws.write(draw(planned, seed, per_shard, parts), "counts")
+        self.slots = slots(self.counts, block, seed, parts)
 
     def positions(self) -> DataFrame:
         """Each document's first word in its source's pseudorandom order."""

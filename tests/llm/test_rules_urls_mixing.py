@@ -172,12 +172,24 @@ def test_permutation_is_a_bijection_and_inverts(spark):
         assert sorted(r.p for r in rows) == list(range(blocks)) and all(r.id == r.q for r in rows)
 
 
-def test_shard_counts_sum_to_the_slots(spark):
-    docs = spark.createDataFrame([(i, "ab"[i % 2], "w " * 50) for i in range(200)], "doc_id long, source string, text string")
-    m = mixing.Mix(docs, block=8)
-    counts = mixing.shard_counts(mixing.slots(mixing.plan_sources(m.sources, 8, 7).withColumn("all_slots", F.lit(1300)), 8, 7, per_shard=100))
-    assert counts.select("shard").distinct().count() > 5
-    assert counts.agg(F.sum("words")).first()[0] == round(1.5 * 200 * 50)
+def test_slots_are_drawn_by_shard(spark):
+    docs = spark.createDataFrame([(i, "aab"[i % 3], "w " * 50) for i in range(210)], "doc_id long, source string, text string")
+    seen = []
+    for seed in (7, 8):
+        m = mixing.Mix(docs, block=8, seed=seed, per_shard=100)
+        counts = {(c.source_no, c.shard): (c.before, c.slots_here) for c in m.counts.collect()}
+        rows = m.slots.collect()
+        assert sum(x.take for x in rows) == round(1.5 * 210 * 50)
+        for source in (0, 1):
+            own = sorted((x.slot, x.shard) for x in rows if x.source_no == source)
+            assert [k for k, _ in own] == list(range(len(own))) and [k for _, k in own] == sorted(k for _, k in own)
+            for shard in {k for _, k in own}:
+                mine = [k for k, at in own if at == shard]
+                assert counts[source, shard] == (mine[0], len(mine))
+        shards = {k for _, k in counts}
+        assert len(shards) > 10 and len({n for _, n in counts.values()}) > 5
+        seen.append(counts)
+    assert seen[0] != seen[1]
 
 
 def test_mix_on_awkward_rows(odd_docs, no_docs):
