@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where it names none (tests) a folder made here."""
+    """``spark.checkpoint.dir`` of the session; where it names none, a folder made here, if all runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         context = spark.sparkContext
         if context.getCheckpointDir() is None:
+            if context.master.split("[")[0] != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="siltstone-"))
         root = context.getCheckpointDir()
     return root.rstrip("/")

@@ -5,6 +5,10 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
+from siltstone.sources.workspace import shared_root
+
 ROOT = Path(__file__).resolve().parents[1]
 SAYS = "import __spark_entry__ as e; q = e.queries(); assert e.oracle_sql().keys() <= q.keys(); print(sorted(q))"
 
@@ -24,3 +28,23 @@ def test_queries_without_the_optional_folders(tmp_path):
     if pipeline.exists():
         shutil.copy(pipeline, copy)
     assert names(copy) == left
+
+
+class Session:
+    """As much of a session as the shared folder asks."""
+
+    def __init__(self, master, root=None):
+        self.sparkContext = self.conf = self
+        self.master, self.root = master, root
+
+    def get(self, key, default):
+        return self.root
+
+    def getCheckpointDir(self):  # noqa: N802
+        return None
+
+
+def test_a_cluster_needs_a_shared_folder():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_root(Session("spark://host:7077"))
+    assert shared_root(Session("spark://host:7077", "s3a://b/c/")) == "s3a://b/c"
