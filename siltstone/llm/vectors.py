@@ -1,18 +1,21 @@
-"""Embedding near-dedup by randomised-rotation binary codes with correction factors.
+"""Embedding near-dedup by randomised-rotation binary codes with stored correction factors.
 
 A unit vector o is rotated by a random orthonormal map into ``bands * bits`` dimensions D; its code is the sign of each
-coordinate (D at least the vector's own length), c = sign / sqrt(D), and its stored correction factor is f = <c, o>.  For another unit vector q,
+coordinate (D at least the vector's own length), c = sign / sqrt(D), and its correction factor is f = <c, o>.  For another unit vector q,
 <c, q> / f is an unbiased estimate of <o, q> whose error stays within ``sigmas`` times
-sqrt((1 - f^2) / f^2 / (D - 1)) but for rare cases.  Pairs whose estimate plus bound is under the
-threshold are dropped; all others are computed again in double precision.
+sqrt((1 - f^2) / f^2 / (D - 1)) but for rare cases.  As the other side q is stored as bytes too, whose distance from q
+is stored as ``gap``, another gap / f is allowed.
 
-Candidates share a band of ``bits`` code bits.  Bits grow with the logarithm of the number of vectors and
-bands so that a pair at the threshold is met with probability ``recall``; closer pairs
-are met more often.  A pair counts in the first band it shares only.
+1. D is at least ``WIDE``.  ``codes`` holds, once for every different vector, its sign bits, factor, bytes, their scale and the gap.
+2. Candidates share a band of ``bits`` code bits.  Bits grow with the logarithm of the number of vectors and
+   bands so that a pair at the threshold is met with probability ``recall``; closer pairs are met more often.
+3. A bucket of any size is cut into tiles of ``TILE`` vectors.  A task reads the codes of two tiles and
+   names the vectors for which some estimate plus bound reaches the threshold: never pairs.
+4. Only these vectors' components are read, for these tiles, and compared in double precision.  A pair counts in the first band
+   that it shares only, by the stored bits.  A task adds up links and hands on one row a vector (its links there and the
+   smallest vector it hangs together with).
 
-Equal vectors are folded into one node with a number of copies.  A bucket of any size is cut into tiles of
-``TILE`` vectors; each task compares two tiles, adds up links, and hands on one row a vector
-(its links there and the smallest vector it hangs together with), never its pairs.
+Equal vectors are folded into one node with a number of copies.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with
 nothing; vectors of different lengths do not link; a null vec_id counts only for lack of another
@@ -26,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +37,8 @@ from siltstone.llm.common import Workspace, map_rows, reachable
 from siltstone.llm.components import components
 
 TILE = 1024
+#: Sign bits of a code, at least, so that estimates of a few bands are narrow too.
+WIDE = 256
 
 
 def rotation(dim: int, least: int, seed: int = 11) -> np.ndarray:
@@ -42,10 +48,9 @@ def rotation(dim: int, least: int, seed: int = 11) -> np.ndarray:
     return q.astype(np.float32)
 
 
-def band_codes(turned: np.ndarray, bits: int, bands: int) -> np.ndarray:
-    """The first ``bits * bands`` signs of each row as one number a band."""
-    signs = (turned[:, : bits * bands] > 0).reshape(len(turned), bands, bits)
-    return (signs @ (1 << np.arange(bits))).astype(np.int64)
+def band_codes(signs: np.ndarray, bits: int, bands: int) -> np.ndarray:
+    """The first ``bits * bands`` signs (0 or 1) of each row as one number a band."""
+    return signs[:, : bits * bands].reshape(len(signs), bands, bits).astype(np.int64) @ (1 << np.arange(bits))
 
 
 def plan(nodes: int, threshold: float, recall: float) -> tuple[int, int]:
@@ -55,35 +60,79 @@ def plan(nodes: int, threshold: float, recall: float) -> tuple[int, int]:
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - met))
 
 
+def encoded(raw: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """Packed sign bits, factor, bytes, scale and gap of each row."""
+    unit = raw.astype(np.float64)
+    unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
+    turned = unit.astype(np.float32) @ rotation_of(raw.shape[1], least).T
+    factor = np.maximum(np.abs(turned).sum(axis=1) / math.sqrt(turned.shape[1]), 1e-6).astype(np.float32)
+    scale = (np.abs(unit).max(axis=1) / 127).astype(np.float32)
+    small = np.rint(unit / scale[:, None]).clip(-127, 127).astype(np.int8)
+    gap = np.linalg.norm(unit - small * scale[:, None].astype(np.float64), axis=1).astype(np.float32)
+    return np.packbits(turned > 0, axis=1), factor, small, scale, gap
+
+
+def signs_of(packed, dim: int, least: int) -> np.ndarray:
+    """Stored sign bits as 0 and 1, a row a vector."""
+    wide = max(dim, least)
+    return np.unpackbits(np.frombuffer(b"".join(packed), dtype=np.uint8).reshape(len(packed), -1), axis=1, count=wide)
+
+
+def together(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, band: int) -> np.ndarray:
+    """Which pairs share no band before ``band``."""
+    return ~(left[i, :band] == right[j, :band]).any(axis=1)
+
+
+class Codes:
+    """Stored codes of one tile."""
+
+    def __init__(self, signs, factor: np.ndarray, small, scale: np.ndarray, gap: np.ndarray, bits: int, bands: int, least: int):
+        low = np.frombuffer(b"".join(small), dtype=np.int8).reshape(len(small), -1).astype(np.float32) * scale[:, None]
+        held = signs_of(signs, low.shape[1], least)
+        self.code = (held * np.float32(2) - np.float32(1)) / np.float32(math.sqrt(held.shape[1]))
+        self.turned = low @ rotation_of(low.shape[1], least).T
+        self.factor, self.gap, self.bands = factor, gap, band_codes(held, bits, bands)
+
+    def estimates(self, other: Codes, sigmas: float) -> tuple[np.ndarray, np.ndarray]:
+        """Estimated inner products of each vector here with each of ``other``, and their bounds."""
+        wide = self.code.shape[1]
+        spread = sigmas * np.sqrt(np.maximum(1 / self.factor**2 - 1, 0) / max(wide - 1, 1)) + 1e-5
+        return (self.code @ other.turned.T) / self.factor[:, None], spread[:, None] + other.gap[None, :] / self.factor[:, None]
+
+    def close(self, other: Codes, threshold: float, sigmas: float, band: int) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each vector here, and each of ``other``, may reach the threshold with one of the other side."""
+        estimate, bound = self.estimates(other, sigmas)
+        i, j = np.nonzero(estimate + bound >= threshold)
+        keep = i < j if self is other else np.ones(len(i), dtype=bool)
+        i, j = i[keep], j[keep]
+        here, there = np.zeros(len(self.factor), dtype=bool), np.zeros(len(other.factor), dtype=bool)
+        for low in range(0, len(i), 1 << 16):  # bounded memory in dense tiles
+            a, b = i[low : low + (1 << 16)], j[low : low + (1 << 16)]
+            new = together(self.bands, other.bands, a, b, band)
+            here[a[new]] = there[b[new]] = True
+        return here, there
+
+
 class Tile:
-    """Vectors of one bucket and tile, with codes for all bands."""
+    """Exact vectors of one tile, with the bands of their stored codes."""
 
-    def __init__(self, node: np.ndarray, copies: np.ndarray, raw: np.ndarray, bits: int, bands: int):
-        self.node, self.copies = node, copies
+    def __init__(self, node: np.ndarray, copies: np.ndarray, raw: np.ndarray, bands: np.ndarray):
+        self.node, self.copies, self.bands = node, copies, bands
         exact = raw.astype(np.float64)
         self.unit = exact / np.linalg.norm(exact, axis=1, keepdims=True)
-        self.low = self.unit.astype(np.float32)
-        turned = self.low @ rotation_of(raw.shape[1], bits * bands).T
-        self.code = np.where(turned > 0, np.float32(1), np.float32(-1)) / np.float32(math.sqrt(turned.shape[1]))
-        self.turned = turned
-        self.factor = np.maximum((self.code * turned).sum(axis=1), 1e-6)
-        self.bands = band_codes(turned, bits, bands)
-
-    def near(self, other: Tile, threshold: float, sigmas: float, band: int) -> tuple[np.ndarray, np.ndarray]:
+
+    def near(self, other: Tile, threshold: float, band: int) -> tuple[np.ndarray, np.ndarray]:
         """Pairs at or over the threshold that share no earlier band."""
-        wide = self.code.shape[1]
-        estimate = (self.code @ other.turned.T) / self.factor[:, None]
-        bound = sigmas * np.sqrt(np.maximum(1 / self.factor**2 - 1, 0) / max(wide - 1, 1)) + 1e-5
-        i, j = np.nonzero(estimate + bound[:, None] >= threshold)
+        i, j = np.nonzero(self.unit @ other.unit.T >= threshold - 1e-9)
         keep = i < j if self is other else np.ones(len(i), dtype=bool)
         i, j = i[keep], j[keep]
         close = []
-        for low in range(0, len(i), 1 << 16):  # bounded memory in dense tiles
+        for low in range(0, len(i), 1 << 16):
             a, b = i[low : low + (1 << 16)], j[low : low + (1 << 16)]
+            # A sum that doesn't depend on the tile's shape settles pairs at the threshold.
             exact = np.einsum("ij,ij->i", self.unit[a], other.unit[b]) >= threshold
-            a, b = a[exact], b[exact]
-            first = ~(self.bands[a, :band] == other.bands[b, :band]).any(axis=1)
-            close.append((a[first], b[first]))
+            exact &= together(self.bands, other.bands, a, b, band)
+            close.append((a[exact], b[exact]))
         if not close:
             return np.empty(0, dtype=int), np.empty(0, dtype=int)
         return tuple(map(np.concatenate, zip(*close)))
@@ -105,9 +154,9 @@ def hang(size: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
-def compare(left: Tile, right: Tile, threshold: float, sigmas: float, band: int) -> Iterator[tuple[int, int, int]]:
+def compare(left: Tile, right: Tile, threshold: float, band: int) -> Iterator[tuple[int, int, int]]:
     """``node, links, root`` for the vectors with a link between the tiles."""
-    i, j = left.near(right, threshold, sigmas, band)
+    i, j = left.near(right, threshold, band)
     if not len(i):
         return
     same = left is right
@@ -136,11 +185,13 @@ class NearVectors:
 
         def run(batches):
             for batch in batches:
-                raws = []
-                for v in batch.column(1):
-                    v = v.as_py()
-                    x = None if not v or any(c is None for c in v) else np.array(v, dtype=np.float32)
-                    raws.append(x.tobytes() if x is not None and np.isfinite(x).all() and x.any() else None)
+                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32) + np.float32(0)  # nulls are NaN, -0 is 0
+                ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+                upto = lambda marks: np.concatenate([[0], np.cumsum(marks)])
+                starts = np.concatenate([[0], ends[:-1]])
+                bad, used = upto(~np.isfinite(flat)), upto(flat != 0)
+                usable = (bad[ends] == bad[starts]) & (used[ends] > used[starts])
+                raws = [flat[a:b].tobytes() if ok else None for a, b, ok in zip(starts, ends, usable)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raws, type=pa.binary())], names=["vec_id", "raw"])
 
         rows = self.vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>")).mapInArrow(run, "vec_id long, raw binary")
@@ -148,50 +199,76 @@ class NearVectors:
         nodes = self.rows.where("raw is not null").groupBy("raw").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first_id"))
         self.nodes = self.ws.write(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    def partial(self) -> DataFrame:
-        """``node, links, root`` rows of all tasks."""
-        bits, bands = plan(self.nodes.count(), self.threshold, self.recall)
-        threshold, sigmas = self.threshold, self.sigmas
-        arrow = pa.schema([("band", pa.int32()), ("dim", pa.int32()), ("code", pa.int64()), ("node", pa.int64())])
+    def encode(self, bits: int, bands: int, least: int) -> None:
+        """``codes(node, dim, signs, factor, small, scale, gap, bands)`` of all nodes."""
+        arrow = pa.schema([("node", pa.int64()), ("dim", pa.int32()), ("signs", pa.binary()), ("factor", pa.float32()), ("small", pa.binary()), ("scale", pa.float32()), ("gap", pa.float32()), ("bands", pa.list_(pa.int64()))])
 
         def start():
             def run(rows):
                 for node, raw in rows:
-                    x = np.frombuffer(raw, dtype=np.float32)
-                    turned = rotation_of(len(x), bits * bands) @ (x / np.linalg.norm(x.astype(np.float64))).astype(np.float32)
-                    codes = band_codes(turned[None, :], bits, bands)[0]
-                    for band in range(bands):
-                        yield band, len(x), int(codes[band]), node
+                    x = np.frombuffer(raw, dtype=np.float32)[None, :]
+                    signs, factor, small, scale, gap = encoded(x, least)
+                    cut = band_codes(signs_of([signs.tobytes()], x.shape[1], least), bits, bands)
+                    yield node, x.shape[1], signs.tobytes(), factor[0], small.tobytes(), scale[0], gap[0], cut[0]
 
             return run
 
-        met = map_rows(self.nodes, "band int, dim int, code long, node long", arrow, ("node", "raw"), start)
-        met = self.ws.write(met, "met")
+        schema = "node long, dim int, signs binary, factor float, small binary, scale float, gap float, bands array<long>"
+        self.codes = self.ws.write(map_rows(self.nodes, schema, arrow, ("node", "raw"), start), "codes")
+
+    def partial(self) -> DataFrame:
+        """``node, links, root`` rows of all tasks."""
+        bits, bands = plan(self.nodes.count(), self.threshold, self.recall)
+        threshold, sigmas = self.threshold, self.sigmas
+        least = max(bits * bands, WIDE)
+        self.encode(bits, bands, least)
+        met = self.codes.select("node", "dim", F.posexplode("bands").alias("band", "code"))
         sizes = met.groupBy("band", "dim", "code").agg(F.count("*").alias("size")).where("size > 1")
         sizes = self.ws.write(sizes.select("band", "dim", "code", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")), "sizes")
         placed = met.join(sizes, ["band", "dim", "code"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
         # A tile meets itself and every other tile of its bucket once.
         each = placed.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
         keyed = each.select("node", "band", "dim", "code", "tile", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"))
-        keyed = keyed.join(self.nodes.select("node", "raw", "copies"), "node")
         keys = ["band", "dim", "code", "x", "y"]
-        dealt = keyed.repartition(*keys).sortWithinPartitions(*keys, "tile", "node")
+
+        def dealt(rows: DataFrame) -> DataFrame:
+            return rows.repartition(*keys).sortWithinPartitions(*keys, "tile", "node")
+
+        def sides(key, tile):
+            return (slice(None),) if key[3] == key[4] else (tile == key[3], tile == key[4])
+
+        place = pa.schema([("node", pa.int64()), *((k, pa.int64() if k == "code" else pa.int32()) for k in keys), ("tile", pa.int32())])
+
+        def choose(batches):
+            for key, (tile, node, signs, factor, small, scale, gap) in grouped(batches, keys, ("tile", "node", "signs", "factor", "small", "scale", "gap")):
+                at = sides(key, tile)
+                parts = [Codes(signs[s], factor[s], small[s], scale[s], gap[s], bits, bands, least) for s in at if len(node[s])]
+                if len(parts) < len(at):
+                    continue
+                marks = np.zeros(len(node), dtype=bool)
+                for s, near in zip((at[0], at[-1]), parts[0].close(parts[-1], threshold, sigmas, key[0])):
+                    marks[s] |= near
+                if marks.any():
+                    size = int(marks.sum())
+                    fixed = [pa.array(np.full(size, k), type=place.field(n).type) for n, k in zip(keys, key)]
+                    yield pa.RecordBatch.from_arrays([pa.array(node[marks], type=pa.int64()), *fixed, pa.array(tile[marks], type=pa.int32())], schema=place)
+
+        stored = self.codes.select("node", "signs", "factor", "small", "scale", "gap")
+        schema = "node long, band int, dim int, code long, x int, y int, tile int"
+        chosen = self.ws.write(dealt(keyed.join(stored, "node")).mapInArrow(choose, schema), "chosen")
         out = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
         def run(batches):
-            for key, columns in grouped(batches, keys):
-                tile, node, copies, raw = columns
+            for key, (tile, node, copies, raw, signs) in grouped(batches, keys, ("tile", "node", "copies", "raw", "signs")):
                 data = np.frombuffer(b"".join(raw), dtype=np.float32).reshape(len(node), -1)
-                part = lambda at: Tile(node[at], copies[at], data[at], bits, bands)
-                if key[3] == key[4]:
-                    left = right = part(slice(None))
-                else:
-                    left, right = part(tile == key[3]), part(tile == key[4])
-                found = list(compare(left, right, threshold, sigmas, key[0]))
+                cut = band_codes(signs_of(signs, data.shape[1], least), bits, bands)
+                parts = [Tile(node[s], copies[s], data[s], cut[s]) for s in sides(key, tile)]
+                found = list(compare(parts[0], parts[-1], threshold, key[0]))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*found)], schema=out)
 
-        return self.ws.write(dealt.mapInArrow(run, "node long, links long, root long"), "partial")
+        exact = chosen.join(self.nodes.select("node", "copies", "raw"), "node").join(self.codes.select("node", "signs"), "node")
+        return self.ws.write(dealt(exact).mapInArrow(run, "node long, links long, root long"), "partial")
 
     def result(self) -> DataFrame:
         self.fold()
@@ -220,12 +297,12 @@ def rotation_of(dim: int, least: int) -> np.ndarray:
     return _rotations[dim, least]
 
 
-def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, tuple]]:
-    """Runs of equal keys in sorted batches: the key, then tile, node, copies and raw vectors."""
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str], values: tuple[str, ...]) -> Iterator[tuple[tuple, tuple]]:
+    """Runs of equal keys in sorted batches: the key, then the columns of ``values``."""
     held, held_key = [], None
     for batch in batches:
         columns = [batch.column(batch.schema.get_field_index(k)).to_numpy() for k in keys]
-        rest = [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in ("tile", "node", "copies", "raw")]
+        rest = [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in values]
         change = np.zeros(batch.num_rows, dtype=bool)
         for c in columns:
             change[1:] |= c[1:] != c[:-1]

@@ -75,16 +75,39 @@ def test_awkward_vectors(spark):
     assert vectors.near_duplicates(frame(spark, rows).limit(0)).count() == 0
 
 
+def codes(x, bits=10, bands=16, least=160):
+    signs, factor, small, scale, gap = vectors.encoded(x.astype(np.float32), least)
+    return vectors.Codes([r.tobytes() for r in signs], factor, [r.tobytes() for r in small], scale, gap, bits, bands, least)
+
+
 def test_estimates_are_unbiased_and_bounded():
-    r = np.random.default_rng(4)
-    x = r.normal(size=(300, 48))
-    node = np.arange(300)
-    t = vectors.Tile(node, np.ones(300), x, 10, 16)
-    estimate = (t.code @ t.turned.T) / t.factor[:, None]
-    error = (estimate - t.unit @ t.unit.T)[~np.eye(300, dtype=bool)]
-    assert abs(error.mean()) < 0.005
-    bound = 5 * np.sqrt((1 / t.factor**2 - 1) / 159)
-    assert (np.abs(estimate - t.unit @ t.unit.T) <= bound[:, None] + 1e-5).mean() > 0.9999
+    x = np.random.default_rng(4).normal(size=(300, 48))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    estimate, bound = codes(x).estimates(codes(x), 5.0)
+    error = estimate - unit @ unit.T
+    assert abs(error[~np.eye(300, dtype=bool)].mean()) < 0.005
+    assert (np.abs(error) <= bound).mean() > 0.9999
+
+
+def test_bytes_lie_within_the_stored_gap():
+    x = np.random.default_rng(6).normal(size=(100, 24)).astype(np.float32)
+    unit = x / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    _, _, small, scale, gap = vectors.encoded(x, 40)
+    assert (np.linalg.norm(unit - small * scale[:, None].astype(float), axis=1) <= gap + 1e-6).all()
+    assert gap.max() < 0.02
+
+
+def test_only_codes_are_dealt_to_all_bands(spark):
+    """Vectors without a partner are never read again once they have codes."""
+    alone = np.random.default_rng(5).normal(size=(400, 64))
+    alone = np.concatenate([alone, alone[:3] + 0.01])
+    own = vectors.NearVectors(frame(spark, [(k, v.astype(np.float32).tolist()) for k, v in enumerate(alone)]))
+    own.fold()
+    own.partial()
+    chosen = spark.read.parquet(own.ws.path("chosen"))
+    assert {"raw", "embedding"}.isdisjoint(own.codes.columns)
+    dealt = own.codes.selectExpr("size(bands) as n").agg({"n": "sum"}).first()[0]
+    assert 6 <= chosen.count() < dealt / 20
 
 
 def test_rotations_keep_lengths():
