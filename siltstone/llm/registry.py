@@ -99,10 +99,15 @@ split AS (
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
   FROM cut),
 marks AS (SELECT doc_id, min(quality) AS mark FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-hosts AS (
-  SELECT host, CASE WHEN strpos(host, '.') = 0 THEN host ELSE regexp_extract(host, '[^.]*\.[^.]*\z') END AS domain,
-    regexp_extract(host, '[^.]*\z') AS suffix, count(mark) AS n, count(*) FILTER (WHERE mark = 1) AS good
+counted AS (
+  SELECT host, regexp_replace(host, ':[0-9]*\z', '') AS name, count(mark) AS n, count(*) FILTER (WHERE mark = 1) AS good
   FROM split LEFT JOIN marks ON page_id = doc_id GROUP BY host),
+named AS (
+  SELECT host, n, good, CASE WHEN regexp_matches(name, '^[0-9.]+\z') THEN name ELSE coalesce(nullif(
+    regexp_extract(name, '(?:^|\.)([^.]+\.(?:(?:ac|co|com|edu|gov|net|org)\.[a-z]{2}|[^.]*))\z', 1), ''), name) END AS domain FROM counted),
+hosts AS (
+  SELECT *, CASE WHEN regexp_matches(domain, '^[0-9.]+\z') THEN domain ELSE coalesce(nullif(
+    regexp_extract(domain, '(?:^|\.)((?:ac|co|com|edu|gov|net|org)\.[a-z]{2}|[^.]*)\z', 1), ''), domain) END AS suffix FROM named),
 levels AS (
   SELECT 'host' AS level, n, good FROM hosts
   UNION ALL SELECT 'domain', sum(n), sum(good) FROM hosts GROUP BY domain

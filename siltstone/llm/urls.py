@@ -6,6 +6,9 @@ suffix, host on its domain); the prior's strength is estimated from all groups o
 level by moments.  A host is blocked if even the upper bound of its posterior, the mean
 plus ``z`` standard deviations, is under ``floor``.
 
+The suffix of a host is its last label, or its last two where a country's label stands behind one of ``SECOND_LEVEL``; the
+registered domain is one label more.  A port isn't part of either.  An address in numbers is its own domain and suffix.
+
 Only built-in functions run.  The counts are aggregated before anything is joined, so a host
 with a third of all pages is one row where it is joined; that join can be broadcast or split by Spark.
 
@@ -26,6 +29,9 @@ from siltstone.llm.common import lower_ascii
 #: (rule, action): the host before the first slash, then the beginning of the path.
 Rule = tuple[str, str]
 
+#: Labels under which countries register domains, as in co.uk or com.au.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
+
 
 def split_url(pages: DataFrame) -> DataFrame:
     """Add ``host`` and ``path``."""
@@ -45,10 +51,29 @@ def rule_columns(rules: Sequence[Rule]) -> tuple[Column, Column]:
     return rule, action
 
 
-def domain_of(host: Column) -> Column:
-    """The last two labels: the registered domain under one-label suffixes."""
-    two = F.regexp_extract(host, r"[^.]*\.[^.]*\z", 0)
-    return F.when(two == "", host).otherwise(two)
+def suffix_pattern(second: Sequence[str] = SECOND_LEVEL) -> str:
+    """A regular expression for the end of a name that nobody registers."""
+    return rf"(?:(?:{'|'.join(second)})\.[a-z]{{2}}|[^.]*)"
+
+
+def name_of(host: Column) -> Column:
+    """The host without a port."""
+    return F.regexp_replace(host, r":[0-9]*\z", "")
+
+
+def _ending(name: Column, pattern: str) -> Column:
+    found = F.regexp_extract(name, rf"(?:^|\.)({pattern})\z", 1)
+    return F.when(name.rlike(r"^[0-9.]+\z") | (found == ""), name).otherwise(found)
+
+
+def suffix_of(name: Column) -> Column:
+    """What follows the registered label."""
+    return _ending(name, suffix_pattern())
+
+
+def domain_of(name: Column) -> Column:
+    """The registered domain: the suffix and a label before it."""
+    return _ending(name, rf"[^.]+\.{suffix_pattern()}")
 
 
 def _strength(groups: DataFrame, level: str) -> DataFrame:
@@ -72,7 +97,7 @@ def reputation(pages: DataFrame, labels: DataFrame, z: float = 2.0) -> DataFrame
     marks = labels.where("quality is not null").groupBy(F.col("doc_id").alias("mark_id")).agg(F.min("quality").alias("mark"))
     counted = pages.select("page_id", "host").join(marks, F.col("page_id") == F.col("mark_id"), "left")
     hosts = counted.groupBy("host").agg(F.count("mark").alias("n"), F.coalesce(F.sum((F.col("mark") == 1).cast("long")), F.lit(0)).alias("good"))
-    hosts = hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", F.regexp_extract("host", r"[^.]*\z", 0))
+    hosts = hosts.withColumn("domain", domain_of(name_of(F.col("host")))).withColumn("suffix", suffix_of(F.col("domain")))
     up = lambda key: hosts.groupBy(key).agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     domains, suffixes = up("domain"), up("suffix")
     overall = hosts.agg(((F.sum("good") + 1) / (F.sum("n") + 2)).alias("rate"))
@@ -81,7 +106,7 @@ def reputation(pages: DataFrame, labels: DataFrame, z: float = 2.0) -> DataFrame
         F.col("suffix").alias("of_suffix"), "strength_domain", "strength_host",
         ((F.col("good") + F.col("strength_suffix") * F.col("rate")) / (F.col("n") + F.col("strength_suffix"))).alias("suffix_mean"),
     )
-    middle = domains.withColumn("of_suffix", F.regexp_extract("domain", r"[^.]*\z", 0)).join(top, "of_suffix").select(
+    middle = domains.withColumn("of_suffix", suffix_of(F.col("domain"))).join(top, "of_suffix").select(
         F.col("domain").alias("of_domain"), "strength_host",
         ((F.col("good") + F.col("strength_domain") * F.col("suffix_mean")) / (F.col("n") + F.col("strength_domain"))).alias("domain_mean"),
     )

@@ -89,6 +89,23 @@ def test_urls(spark):
     assert {r.verdict for r in urls.filter_urls(pages, labels.limit(0), []).collect()} == {"allow"}
 
 
+def test_registered_domains(spark):
+    want = {
+        "www.bbc.co.uk": ("bbc.co.uk", "co.uk"), "bbc.co.uk:8080": ("bbc.co.uk", "co.uk"), "a.b.example.com": ("example.com", "com"), "co.uk": ("co.uk", "co.uk"),
+        "xco.uk": ("xco.uk", "uk"), "10.0.0.1": ("10.0.0.1", "10.0.0.1"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"), "localhost": ("localhost", "localhost"), "": ("", ""), "shop.com.au": ("shop.com.au", "com.au"),
+    }
+    hosts = spark.createDataFrame([(k,) for k in want], "host string").select("host", urls.domain_of(urls.name_of(F.col("host"))).alias("domain"))
+    assert {r.host: (r.domain, r.suffix) for r in hosts.withColumn("suffix", urls.suffix_of(F.col("domain"))).collect()} == want
+
+
+def test_a_two_label_suffix_is_no_domain(spark):
+    """Bad sites under co.uk do not block another one that has no labels."""
+    pages = spark.createDataFrame([(i, f"http://bad{i % 2}.co.uk/{i}") for i in range(80)] + [(100 + i, f"http://good{i % 9}.co.uk/{i}") for i in range(90)] + [(999, "http://www.new.co.uk/")], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0) for i in range(80)] + [(100 + i, 1) for i in range(90)], "doc_id long, quality int")
+    got = {r.page_id: r.verdict for r in urls.filter_urls(pages, labels, []).collect()}
+    assert {got[i] for i in range(80)} == {"block"} and got[999] == "allow" and {got[100 + i] for i in range(90)} == {"allow"}
+
+
 def h(seed, *values):
     """Spark's xxhash64 of a row."""
     out = 42
