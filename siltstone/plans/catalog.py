@@ -289,7 +289,10 @@ def html_detect(spark, d):
 
 @query
 def page_links(spark, d):
-    return table(spark, d, "pages").select("page_id", F.posexplode(html.links(F.col("html"))).alias("place", "link"))
+    """Pages with links added: to a page and a text for even numbers, to a text only for odd ones."""
+    page = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<a HREF="/p'), "page_id", F.lit('.html">p</a>'))).otherwise(F.lit(""))
+    raw = F.concat("html", page, F.lit('<a href="/t'), "page_id", F.lit('.txt">t</a>'))
+    return table(spark, d, "pages").select("page_id", F.posexplode(html.links(raw)).alias("place", "link"))
 
 
 @query
@@ -307,6 +310,20 @@ def filing_summary(spark, d):
     return sections.filing_summary(sections.extract_sections(table(spark, d, "documents"), WORD_SECTIONS))
 
 
+@query
+def section_bounds_any_item(spark, d):
+    """Sections that end at the next numbered header, in texts with headers added."""
+    docs = table(spark, d, "documents").select("doc_id", F.replace("text", F.lit(" and "), F.lit("\n item 7a and ")).alias("text"))
+    return sections.section_bounds(docs, WORD_SECTIONS, end_at_any_item=True)
+
+
+@query
+def page_headers(spark, d):
+    """Texts with running headers and page numbers added, and without them."""
+    text = F.concat(F.lit("Table of Contents\n"), F.replace("text", F.lit(". "), F.lit(".\n  12 \n")))
+    return table(spark, d, "documents").select("doc_id", sections.without_page_headers(text).alias("text"))
+
+
 # Sentences and chunks
 
 

@@ -27,10 +27,10 @@ QUESTIONS = "SELECT item_id AS query_id, text AS query, embedding FROM benchmark
 TERMS = f"""
 docs AS ({CHUNKS}),
 asked AS ({QUESTIONS}),
-split AS (SELECT doc_id, company, section, {words('text')} AS words FROM docs),
+split AS MATERIALIZED (SELECT doc_id, company, section, {words('text')} AS words FROM docs),
 stats AS (SELECT count(*) AS n_docs, avg(len(words)) AS avg_dl FROM split),
-freqs AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(words)) AS term FROM split) GROUP BY term),
-raws AS (SELECT term, df, ln(n_docs - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM freqs, stats),
+freqs AS MATERIALIZED (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(words)) AS term FROM split) GROUP BY term),
+raws AS MATERIALIZED (SELECT term, df, ln(n_docs - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM freqs, stats),
 idfs AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM raws) ELSE raw END AS idf FROM raws)"""
 
 
@@ -149,6 +149,8 @@ kept AS (SELECT * FROM (SELECT *, max(start) OVER (PARTITION BY doc_id ORDER BY
 bounds AS (SELECT *, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY section_no), length(text))::INT AS stop FROM kept),
 bodies AS (SELECT doc_id, section_no, section, body FROM (SELECT *, {strip('substring(text, start + 1, least(stop - start, most))')} AS body FROM bounds) WHERE length(body) > 200)"""
 
+ANY_ITEM = rf"\n{SPACE}*item{SPACE}+[0-9]+[a-c]?\b"
+
 INDEXED = "indexed AS (SELECT doc_id, source AS company, lang AS section, (row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1)::INT AS chunk_index FROM documents)"
 CONTEXT = r"""
 blocks AS (SELECT query_id, rank, regexp_replace('[' || rank || '] ' || coalesce(company, 'Unkown') || ' — ' || coalesce(section, ''), '[ —]+$', '') || chr(10) || coalesce(text, '') AS block FROM bm25 JOIN docs USING (doc_id)),
@@ -203,8 +205,13 @@ FROM lists JOIN docs USING (doc_id) JOIN gold USING (query_id) GROUP BY ALL""",
     "safe_name": "SELECT c_custkey, replace(replace(replace(lower(c_name || ' (Ltd)'), ' ', '_'), '(', ''), ')', '') AS slug FROM customer",
     "html_to_text": f"SELECT page_id, {HTML} AS text FROM pages",
     "html_detect": "SELECT id, kind, regexp_matches(lower(raw), '<html|<body|<div') AS is_html, length(raw) > 10000 AS usable FROM (SELECT page_id AS id, 'page' AS kind, html AS raw FROM pages UNION ALL SELECT doc_id, 'document', text FROM documents)",
-    "page_links": """SELECT page_id, (k - 1)::INT AS place, found[k] AS link FROM (SELECT *, unnest(range(1, len(found) + 1)) AS k FROM (SELECT page_id, CASE WHEN len(a) > 0 THEN a ELSE b END AS found FROM (SELECT page_id, regexp_extract_all(html, '(?i)href="([^"]+\\.html?)"', 1) AS a, regexp_extract_all(html, '(?i)href="([^"]+\\.txt)"', 1) AS b FROM pages)))""",
+    "page_links": """WITH raw AS (SELECT page_id, html || CASE WHEN page_id % 2 = 0 THEN '<a HREF="/p' || page_id || '.html">p</a>' ELSE '' END || '<a href="/t' || page_id || '.txt">t</a>' AS html FROM pages)
+SELECT page_id, (k - 1)::INT AS place, found[k] AS link FROM (SELECT *, unnest(range(1, len(found) + 1)) AS k FROM (SELECT page_id, CASE WHEN len(a) > 0 THEN a ELSE b END AS found FROM (SELECT page_id, regexp_extract_all(html, '(?i)href="([^"]+\\.html?)"', 1) AS a, regexp_extract_all(html, '(?i)href="([^"]+\\.txt)"', 1) AS b FROM raw)))""",
     "section_bounds": f'WITH {SECTIONS} SELECT doc_id, section_no, section, start, stop AS "end" FROM bounds',
+    "section_bounds_any_item": f"""WITH documents AS (SELECT doc_id, replace(text, ' and ', chr(10) || ' item 7a and ') AS text FROM main.documents), {SECTIONS},
+inner_ AS (SELECT *, lower(substring(text, start + 2, stop - start - 1)) AS inside FROM bounds)
+SELECT doc_id, section_no, section, start, (CASE WHEN regexp_matches(inside, '{ANY_ITEM}') THEN start + 1 + length(regexp_extract(inside, '(?s)^(.*?)(?:{ANY_ITEM})', 1)) ELSE stop END)::INT AS "end" FROM inner_""",
+    "page_headers": """SELECT doc_id, regexp_replace('Table of Contents' || chr(10) || replace(text, '. ', '.' || chr(10) || '  12 ' || chr(10)), '(?im)^[ \\t]*(table of contents|[0-9]{1,4})[ \\t]*\\n', '', 'g') AS text FROM documents""",
     "section_extract": f"WITH {SECTIONS} SELECT * FROM bodies",
     "filing_summary": f"WITH {SECTIONS} SELECT doc_id, list(section ORDER BY section_no) AS sections_found, sum(length(body))::BIGINT AS total_chars FROM bodies GROUP BY doc_id",
     "sentence_split": f"WITH {SENTENCES} SELECT doc_id, (k - 1)::INT AS place, ss[k] AS sentence FROM (SELECT *, unnest(range(1, len(ss) + 1)) AS k FROM sentences)",
