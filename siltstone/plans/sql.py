@@ -219,7 +219,7 @@ SELECT doc_id, section_no, section, start, (CASE WHEN regexp_matches(inside, '{A
     "chunk_pack": f"WITH RECURSIVE {CHUNKED} SELECT sha256(concat_ws('|', company, section, doc_id, chunk_index, text)) AS chunk_id, company, section, doc_id, chunk_index, total_chunks, text, length(text)::INT AS char_count FROM chunked",
     "chunk_stats": f"WITH RECURSIVE {CHUNKED} SELECT company, section, count(*) AS total_chunks FROM chunked GROUP BY ROLLUP (company, section)",
     "chunk_stats_by_company": f"WITH RECURSIVE {CHUNKED} SELECT company, sum(n)::BIGINT AS total_chunks, '{{' || string_agg('\"' || section || '\":' || n, ',' ORDER BY section) || '}}' AS by_section FROM (SELECT company, section, count(*) AS n FROM chunked GROUP BY ALL) GROUP BY company",
-    "latest_filing": "SELECT * FROM (VALUES ('Alpha Co', '0000019617', '0001-24-7', '0001247', '2024-02-01', 'c.htm'), ('Gamma (X)', '12345678901', '7-7-7', '777', '2022-03-03', 'g.htm')) t(company, cik, accession_number, accession_flat, filing_date, primary_doc)",
+    "latest_filing": "SELECT * FROM (VALUES ('Alpha Co', '0000019617', '0001-24-7', '0001247', '2024-02-01', 'c.htm', 'https://www.sec.gov/Archives/edgar/full-indexdata/19617/0001247/c.htm'), ('Gamma (X)', '12345678901', '7-7-7', '777', '2022-03-03', 'g.htm', 'https://www.sec.gov/Archives/edgar/full-indexdata/12345678901/777/g.htm')) t(company, cik, accession_number, accession_flat, filing_date, primary_doc, doc_url)",
     "manifest_parse": f"SELECT 'Site ' || page_id AS company, '2024' AS filing_date, 'raw/site_' || page_id || '.html' AS source_file, {HTML} AS text FROM pages WHERE page_id - 3 IN (SELECT page_id FROM pages)",
     "upsert_chunks": """WITH docs AS (SELECT doc_id, doc_id::VARCHAR AS chunk_id, source AS company, lang AS section, text FROM documents),
 new AS (SELECT chunk_id, company, 'moved' AS section, 'new ' || text AS text FROM docs WHERE doc_id % 3 = 0 OR doc_id % 5 = 0),

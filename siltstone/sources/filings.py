@@ -19,6 +19,8 @@ COMPANIES = {
     "Visa": "0001403161",
 }
 FORM = "10-K"
+#: Where a filing's address in the manifest begins; nothing is fetched from it (fixed value).
+DOC_URL = "https://www.sec.gov/Archives/edgar/full-indexdata"
 MIN_DOCUMENT_CHARS = 10_000
 
 
@@ -30,8 +32,10 @@ def latest_filings(submissions: DataFrame, form: str = FORM) -> DataFrame:
     zipped = F.arrays_zip("form", "accessionNumber", "filingDate", "primaryDocument")
     hit = F.element_at(F.filter(zipped, lambda x: x["form"] == form), 1)
     found = submissions.where(F.array_contains("form", form)).select("company", zero_padded(F.col("cik")).alias("cik"), hit.alias("f"))
-    number = F.col("f.accessionNumber")
-    return found.select("company", "cik", number.alias("accession_number"), F.replace(number, F.lit("-"), F.lit("")).alias("accession_flat"), F.col("f.filingDate").alias("filing_date"), F.col("f.primaryDocument").alias("primary_doc"))
+    number, document = F.col("f.accessionNumber"), F.col("f.primaryDocument")
+    flat = F.replace(number, F.lit("-"), F.lit(""))
+    url = F.concat_ws("/", F.lit(DOC_URL), F.ltrim("cik", F.lit("0")), flat, document)
+    return found.select("company", "cik", number.alias("accession_number"), flat.alias("accession_flat"), F.col("f.filingDate").alias("filing_date"), document.alias("primary_doc"), url.alias("doc_url"))
 
 
 def usable_document(status: Column, text: Column) -> Column:
