@@ -16,7 +16,7 @@ uses this twice, with longer prefixes (a larger l) where a short one would cost
 4. Leaders.  Every node is verified against one leader, the node that most of its prefix lists name.
    The stars of these links stand for large groups of near copies.
 5. Only pairs of different stars are still open.  In each prefix list, nodes outside the
-   largest star meet all others, under length and position bounds, a bound of parity maps (sets whose 512-bit maps
+   largest star meet all others, under length and position bounds, a bound of parity maps (sets whose 2048-bit maps
    differ in d bits have at least d shingles that are not in both) and the number of shared shingles;
    distinct pairs are verified.  A group of near copies never meets all-against-all.
 
@@ -53,7 +53,7 @@ BROADCAST_ROWS = 300_000
 MOST_COMMON = 1 << 20
 FLUSH = 2_000_000
 #: Words of 64 bits of a parity map, a power of two.
-WORDS = 8
+WORDS = 32
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -108,3 +108,16 @@ def test_components_of_paths_and_stars(spark):
     got = {x.node: x.component for x in components(df, Workspace(spark, "test")).collect()}
     assert got == {**{i: 0 for i in range(301)}, **{1000 + i: 1000 for i in range(201)}}
     assert components(df.limit(0), Workspace(spark, "test")).count() == 0
+
+
+def test_maps_tell_sets_apart_that_are_half_alike(spark):
+    r = random.Random(6)
+    common = [r.choice(range(10**6)) for _ in range(480)]
+    texts = [" ".join(map(str, common + [r.randrange(10**6) for _ in range(130)])) for _ in range(2)]
+    words = ngram_join.word_hashes()
+    sets = [ngram_join.shingles(t, words) for t in texts]
+    own = ngram_join.NgramJoin(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    own.tokens = spark.createDataFrame([(i, len(s), bytearray(s.tobytes())) for i, s in enumerate(sets)], "node long, n long, tokens binary")
+    a, b = ([v & (1 << 64) - 1 for v in row[1:]] for row in sorted(own.parity().collect()))
+    apart, both = sum((u ^ v).bit_count() for u, v in zip(a, b)), sum(map(len, sets))
+    assert apart <= len(set(sets[0].tolist()) ^ set(sets[1].tolist())) and 175 * apart > 25 * both
