@@ -14,14 +14,15 @@ uses this twice, with longer prefixes (a larger l) where a short one would cost
    shingles, and so has a high estimated candidate cost, takes a longer prefix and needs as many
    more shared shingles.
 4. Leaders.  Every node is verified against one leader, the node that most of its prefix lists name.
-   The stars of these links stand for large groups of near copies.
-5. Only pairs of different stars are still open.  In each prefix list, nodes outside the
-   largest star meet all others, under length and position bounds, a bound of parity maps (sets whose 2048-bit maps
+   The components of these links stand for large groups of near copies.  In further rounds, nodes outside the
+   largest component of a list are verified against one node of it, as long as that closes many pairs.
+5. Only pairs of different components are still open.  In each prefix list, nodes outside the
+   largest component meet all others, under length and position bounds, a bound of parity maps (sets whose 2048-bit maps
    differ in d bits have at least d shingles that are not in both) and the number of shared shingles;
    distinct pairs are verified.  A group of near copies never meets all-against-all.
 
 Pairs are verified by exact intersection, so every link between different sets is either found or
-implied by its star, whatever the sizes of lists and groups.
+implied by its component, whatever the sizes of lists and groups.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; repeated rows are
 equal sets; a null doc_id counts only for lack of another id in its component.
@@ -54,6 +55,8 @@ MOST_COMMON = 1 << 20
 FLUSH = 2_000_000
 #: Words of 64 bits of a parity map, a power of two.
 WORDS = 32
+#: Rounds of leaders, at most, before open nodes meet; the meeting is exact after any number of them.
+ROUNDS = 6
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -353,7 +356,7 @@ class NgramJoin:
         return self.ws.write(both.mapInArrow(run, "a long, b long").distinct(), f"{name}-links")
 
     def leaders(self) -> DataFrame:
-        """Step 4: one pair for every node that shares a prefix shingle: itself and its leader.
+        """One pair for every node that shares a prefix shingle: itself and its leader.
 
         A list's leader reaches the shingle with the fewest others before it, so it is the least
         edited of its copies.
@@ -364,10 +367,41 @@ class NgramJoin:
         first = votes.groupBy("node").agg(F.max_by("leader", F.struct("votes", -F.col("leader"))).alias("leader"))
         return first.select(F.col("node").alias("a"), F.col("leader").alias("b"))
 
-    def stars(self, links: DataFrame) -> DataFrame:
-        """``node, component`` of linked nodes: their leader, or its own leader where it has one."""
-        up = links.alias("l").join(links.alias("u"), F.col("l.b") == F.col("u.a"), "left")
-        return self.ws.write(up.select(F.col("l.a").alias("node"), F.coalesce("u.b", "l.b").alias("component")), "stars")
+    def sides(self, labels: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """Prefix lists whose nodes are in several components, and how many pairs are open there."""
+        named = self.lists.join(self.small(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        named = self.ws.write(named, f"{name}-named")
+        sides = named.groupBy("token", "component").agg(F.count("*").alias("nodes"))
+        sides = sides.groupBy("token").agg(F.max_by("component", F.struct("nodes", "component")).alias("main"), F.count("*").alias("sides"), F.sum("nodes").alias("nodes"), F.max("nodes").alias("most"))
+        sides = self.ws.write(sides.where("sides > 1"), f"{name}-sides")
+        few = F.col("nodes") - F.col("most")
+        pairs = sides.agg(F.sum(few * F.col("most") + few * (few - 1) / 2)).first()[0] or 0
+        return named.join(sides.select("token", "main"), "token"), pairs
+
+    def closer(self, left: DataFrame, step: int) -> DataFrame:
+        """One pair for a node outside the largest components of its lists: a node that most of these lists name, at first the least edited one, then any."""
+        rank = F.struct("at", "node", "n") if step == 1 else F.struct(F.xxhash64(F.lit(step), "node").alias("at"), "node", "n")
+        best = left.where("component = main").groupBy("token").agg(F.min(rank).alias("best"))
+        best = self.ws.write(best.select("token", F.col("best.node").alias("leader"), F.col("best.n").alias("whole")), f"best{step}")
+        named = left.where("component <> main").join(best, "token")
+        named = named.where(100 * F.least("n", "whole") >= self.percent * F.greatest("n", "whole"))
+        votes = named.groupBy("node", "leader").agg(F.count("*").alias("votes"))
+        first = votes.groupBy("node").agg(F.max_by("leader", F.struct("votes", -F.col("leader"))).alias("leader"))
+        return first.select(F.col("node").alias("a"), F.col("leader").alias("b"))
+
+    def led(self) -> tuple[DataFrame, DataFrame]:
+        """Step 4: links of nodes with leaders, and the lists that are still open."""
+        links = self.verify(self.leaders(), "links0")
+        left, pairs = self.sides(components(links, self.ws, "c0"), "s0")
+        for step in range(1, ROUNDS):
+            if not pairs:
+                break
+            links = links.unionByName(self.verify(self.closer(left, step), f"links{step}"))
+            before = pairs
+            left, pairs = self.sides(components(links, self.ws, f"c{step}"), f"s{step}")
+            if 5 * pairs > 4 * before:
+                break
+        return links, left
 
     def parity(self) -> DataFrame:
         """``node, map0, ...``: each shingle flips one bit."""
@@ -385,15 +419,10 @@ class NgramJoin:
         sql = "node long, " + ", ".join(f"map{w} long" for w in range(WORDS))
         return map_rows(self.tokens, sql, arrow, ("node", "tokens"), start)
 
-    def crossing(self, labels: DataFrame) -> DataFrame:
-        """Step 5: pairs of nodes of different stars that the bounds leave open."""
-        named = self.lists.join(self.small(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        named = self.ws.write(named, "named")
-        sides = named.groupBy("token", "component").agg(F.count("*").alias("nodes"))
-        sides = sides.groupBy("token").agg(F.max_by("component", F.struct("nodes", "component")).alias("main"), F.count("*").alias("sides"))
-        sides = self.ws.write(sides.where("sides > 1").select("token", "main"), "sides")
+    def crossing(self, left: DataFrame) -> DataFrame:
+        """Step 5: pairs of nodes of different components that the bounds leave open."""
         maps = self.ws.write(self.parity(), "maps")
-        open_lists = self.ws.write(named.join(sides, "token").join(maps, "node"), "open")
+        open_lists = self.ws.write(left.join(maps, "node"), "open")
         few = open_lists.where("component <> main").alias("x")
         every = open_lists.alias("y")
         x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
@@ -422,8 +451,8 @@ class NgramJoin:
         self.fetch()
         self.commons()
         self.prefixes()
-        first = self.verify(self.leaders(), "first")
-        second = self.verify(self.crossing(self.stars(first)), "second")
+        first, left = self.led()
+        second = self.verify(self.crossing(left), "second")
         final = components(first.unionByName(second), self.ws, "c")
         named = self.sets.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
         named = self.ws.write(named.select(F.col("digest").alias("of"), "first_doc", "component"), "named-sets")

@@ -121,3 +121,18 @@ def test_maps_tell_sets_apart_that_are_half_alike(spark):
     a, b = ([v & (1 << 64) - 1 for v in row[1:]] for row in sorted(own.parity().collect()))
     apart, both = sum((u ^ v).bit_count() for u, v in zip(a, b)), sum(map(len, sets))
     assert apart <= len(set(sets[0].tolist()) ^ set(sets[1].tolist())) and 175 * apart > 25 * both
+
+
+def test_large_group_in_two_halves_meets_once(spark):
+    """Copies of a text and of its edited copy: leaders join them, so that they don't meet all-against-all."""
+    r = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    base = [r.choice(vocabulary) for _ in range(400)]
+    halves = [base, edited(r, base, 6, vocabulary)]
+    rows = [(i, " ".join(edited(r, halves[i % 2], r.randrange(1, 5), vocabulary))) for i in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    own = ngram_join.NgramJoin(docs)
+    got = sorted(((x.doc_id, x.n_shingles, x.component_id) for x in own.result().collect()), key=str)
+    assert got == plain_components(rows) and {x[2] for x in got} == {0}
+    left = spark.read.parquet(own.ws.path("open"))
+    assert left.select("node").distinct().count() < 40, left.select("node").distinct().count()
