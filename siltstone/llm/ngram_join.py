@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import Memo, Workspace, batched, map_rows, reachable, rows_of
-from siltstone.llm.components import components
+from siltstone.llm.components import components, stars
 
 SHINGLE = 5
 #: Odd multipliers of the words of a shingle, from the digits of the golden ratio and a fixed generator.
@@ -392,16 +392,18 @@ class NgramJoin:
     def led(self) -> tuple[DataFrame, DataFrame]:
         """Step 4: links of nodes with leaders, and the lists that are still open."""
         links = self.verify(self.leaders(), "links0")
-        left, pairs = self.sides(components(links, self.ws, "c0"), "s0")
+        labels = components(links, self.ws, "c0")
+        left, pairs = self.sides(labels, "s0")
         for step in range(1, ROUNDS):
             if not pairs:
                 break
-            links = links.unionByName(self.verify(self.closer(left, step), f"links{step}"))
+            more = self.verify(self.closer(left, step), f"links{step}")
+            labels = components(stars(labels).unionByName(more), self.ws, f"c{step}")
             before = pairs
-            left, pairs = self.sides(components(links, self.ws, f"c{step}"), f"s{step}")
+            left, pairs = self.sides(labels, f"s{step}")
             if 5 * pairs > 4 * before:
                 break
-        return links, left
+        return stars(labels), left
 
     def parity(self) -> DataFrame:
         """``node, map0, ...``: each shingle flips one bit."""

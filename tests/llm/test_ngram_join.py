@@ -5,7 +5,7 @@ import re
 
 from siltstone.llm import ngram_join
 from siltstone.llm.common import Workspace
-from siltstone.llm.components import components
+from siltstone.llm.components import components, stars
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -136,3 +136,15 @@ def test_large_group_in_two_halves_meets_once(spark):
     assert got == plain_components(rows) and {x[2] for x in got} == {0}
     left = spark.read.parquet(own.ws.path("open"))
     assert left.select("node").distinct().count() < 40, left.select("node").distinct().count()
+
+
+def test_components_end_with_stars_and_go_on_from_them(spark, monkeypatch):
+    """Edges that are stars need no round; labels stand for the links behind them."""
+    written, write = [], Workspace.write
+    monkeypatch.setattr(Workspace, "write", lambda self, df, name: written.append(name) or write(self, df, name))
+    found = lambda edges: components(spark.createDataFrame(edges, "a long, b long"), Workspace(spark, "test"))
+    labels = found([(i, i % 3) for i in range(3, 60)])
+    assert written == ["cc-0"] and {x.node: x.component for x in labels.collect()} == {i: i % 3 for i in range(60)}
+    more = stars(labels).unionByName(spark.createDataFrame([(58, 59), (70, 71)], "a long, b long"))
+    got = {x.node: x.component for x in components(more, Workspace(spark, "test")).collect()}
+    assert got == {**{i: min(i % 3, 1) for i in range(60)}, 70: 70, 71: 70}
