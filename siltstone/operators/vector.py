@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siltstone.operators.best import CELLS, Best
 from siltstone.operators.lexical import top_k
+from siltstone.sources.workspace import reachable
 
 #: Query vectors told to all tasks, at most; more are searched in further passes.
 QUERY_BLOCK = 4096
@@ -47,8 +49,8 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 20, id_column: str
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "vec_id") -> DataFrame:
     """``query_id, doc_id, score, rank``: exact top k of each row of ``queries(query_id, embedding)``.
 
-    Queries are told to all tasks in blocks of a fixed size; each batch of vectors keeps its own
-    k best for a query, so only those are shuffled.
+    Queries are told to all tasks in blocks of a fixed size; each task keeps its own k best for a query, so only
+    those are shuffled.
     """
     found = None
     for block in query_blocks(queries):
@@ -73,22 +75,32 @@ def query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.array(ids), np.array(rows)
 
 
+def distances(vectors: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Cosine distances ``[vector, query]`` to unit vectors."""
+    return np.round(1 - (vectors @ queries.T) / np.linalg.norm(vectors, axis=1)[:, None], 12)
+
+
+def as_matrix(embeddings: pa.Array) -> np.ndarray:
+    return embeddings.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(embeddings), -1)
+
+
+def found_rows(best: Best, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if out := best.found():
+        yield pa.RecordBatch.from_arrays([pa.array(ids[out[0]]), out[1], pa.array(out[2])], names=["query_id", "doc_id", "score"])
+
+
 def _search_block(vectors: DataFrame, block: tuple[np.ndarray, np.ndarray], k: int, id_column: str) -> DataFrame:
+    reachable(vectors.sparkSession)
     shared = vectors.sparkSession.sparkContext.broadcast(block)
-    schema = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches):
         ids, queries = shared.value
+        best, step = Best(len(ids), k, high=False, last=False), max(1, CELLS // len(ids))
         for batch in batches:
-            doc = batch.column(0).to_numpy()
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            if not len(doc):
-                continue
-            v = flat.reshape(len(doc), -1).astype(np.float64)
-            distance = np.round(1 - (queries @ v.T) / np.linalg.norm(v, axis=1), 12)
-            order = np.lexsort((np.broadcast_to(doc, distance.shape), np.round(distance, 9)), axis=1)[:, :k]
-            q = np.repeat(ids, order.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(doc[order.ravel()]), pa.array(np.take_along_axis(distance, order, axis=1).ravel())], schema=schema)
+            for low in range(0, batch.num_rows, step):
+                part = batch.slice(low, step)
+                best.add(distances(as_matrix(part.column(1)), queries), part.column(0))
+        yield from found_rows(best, ids)
 
     usable = vectors.where(F.col("embedding").isNotNull() & (F.size("embedding") == block[1].shape[1])).select(F.col(id_column).cast("long"), "embedding")
     return usable.mapInArrow(run, "query_id long, doc_id long, score double")
@@ -115,7 +127,8 @@ class CellIndex:
         lists = lists or list_count(usable.count())
         points = usable.withColumn("features", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))))
         model = KMeans(k=lists, distanceMeasure="cosine", seed=seed, maxIter=10, predictionCol="cell").fit(points)
-        model.transform(points).select("vec_id", "embedding", "cell").write.partitionBy("cell").parquet(path)
+        # Dealt by cell, so that a cell is a few files and not one of every task; a large cell is split.
+        model.transform(points).select("vec_id", "embedding", "cell").hint("rebalance", "cell").write.partitionBy("cell").parquet(path)
         centres = np.array(model.clusterCenters())
         return cls(vectors.sparkSession.read.parquet(path), centres / np.linalg.norm(centres, axis=1, keepdims=True))
 
@@ -128,15 +141,37 @@ class CellIndex:
         return nearest(self.cells.where(F.col("cell").isin(self.probed(np.array(query), probes))), query, k)
 
     def search(self, queries: DataFrame, k: int = 20, probes: int = 4) -> DataFrame:
-        """The same for many queries: each is joined with its cells only."""
-        parts = []
+        """The same for many queries: each meets the vectors of its cells only, and tasks keep their k best of each."""
+        found = None
         for ids, vectors in query_blocks(queries):
             cells = np.argsort(1 - vectors @ self.centroids.T, axis=1, kind="stable")[:, :probes]
-            parts += [(int(i), int(c), v.tolist()) for i, v, own in zip(ids, vectors, cells) for c in own]
-        wanted = self.cells.sparkSession.createDataFrame(parts, "query_id long, cell int, query array<double>")
-        joined = self.cells.join(wanted, "cell")
-        scored = joined.select("query_id", F.col("vec_id").alias("doc_id"), cosine_distance(F.col("embedding"), F.col("query")).alias("score"))
-        return top_k(scored, k, ascending=True, id_descending=False)
+            part = self._search_block((ids, vectors, cells), k)
+            found = part if found is None else found.unionByName(part)
+        if found is None:
+            return self.cells.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank int")
+        return top_k(found, k, ascending=True, id_descending=False)
+
+    def _search_block(self, block: tuple[np.ndarray, np.ndarray, np.ndarray], k: int) -> DataFrame:
+        reachable(self.cells.sparkSession)
+        shared = self.cells.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches):
+            ids, queries, cells = shared.value
+            best, asking = Best(len(ids), k, high=False, last=False), {}
+            for batch in batches:
+                own = batch.column(0).to_numpy()
+                for cell in np.unique(own):
+                    if cell not in asking:
+                        asking[cell] = np.nonzero((cells == cell).any(axis=1))[0]
+                    columns, rows = asking[cell], np.nonzero(own == cell)[0]
+                    step = max(1, CELLS // max(1, len(columns)))
+                    for low in range(0, len(rows) if len(columns) else 0, step):
+                        part = batch.take(pa.array(rows[low : low + step]))
+                        best.add(distances(as_matrix(part.column(2)), queries[columns]), part.column(1), columns)
+            yield from found_rows(best, ids)
+
+        usable = self.cells.where(F.size("embedding") == block[1].shape[1]).select(F.col("cell").cast("int"), F.col("vec_id").cast("long"), "embedding")
+        return usable.mapInArrow(run, "query_id long, doc_id long, score double")
 
 
 def embed(texts: DataFrame, embedder: Callable[[list[str]], np.ndarray], text: str = "text", batch: int = 64) -> DataFrame:
