@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Every character that Unicode counts as white space in a text split (a Java character class).
-SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+#: Every character that Unicode counts as white space in a text split (a Java character class, in the form that is tested fastest).
+SPACE = r"[\x1c\x1d\x1e\x1f\p{IsWhite_Space}]"
 
 
 def strip(c: Column) -> Column:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.sources.workspace import Workspace
+
 #: Instruction and layout of the prompt (fixed values).
 INSTRUCTION = "You are a financial analyst assistant. Answer the question using ONLY the context from SEC 10-K filings provided below. If the context does not contain the answer, say you cannot find it in the provided filings. Cite the company name when stating a fact. Be concise and factual."
 LAYOUT = "%s\n\nContext from SEC 10-K filings:\n%s\n\nQuestion: %s\n\nAnswer:"
@@ -24,7 +26,9 @@ def context_block(number: Column, company: Column, section: Column, text: Column
 
 def contexts(results: DataFrame, docs: DataFrame) -> DataFrame:
     """``query_id, context``: the ranked chunks of each query as one text."""
-    joined = results.select("query_id", "doc_id", "rank").join(docs.select("doc_id", "company", "section", "text"), "doc_id")
+    # Stored, so that Spark sees its size before the texts are shuffled.
+    ranked = Workspace(docs.sparkSession, "contexts").write(results.select("query_id", "doc_id", "rank"), "ranked")
+    joined = ranked.join(docs.select("doc_id", "company", "section", "text"), "doc_id")
     block = context_block(F.col("rank"), F.col("company"), F.col("section"), F.col("text"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", block.alias("block")))), lambda x: x["block"])
     return joined.groupBy("query_id").agg(F.array_join(ordered, "\n\n").alias("context"))

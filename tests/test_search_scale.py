@@ -1,11 +1,15 @@
 """Searches whose tasks keep their best rows only, against plain Python."""
 
+import random
+import re
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import best, vector
+from siltstone.functions import text as T
+from siltstone.operators import best, lexical, prompting, vector
 from tests.test_plans import plan
 
 
@@ -26,6 +30,22 @@ def test_best_of_batches_is_the_best_of_all(high):
         assert sorted(map(str, found.filter(pa.array(query == q)).to_pylist())) == sorted(str(ids[d]) for d in want)
 
 
+def test_bm25_in_blocks_and_by_string_ids(spark, monkeypatch):
+    r = random.Random(2)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(f"d{i:02}", " ".join(r.choices(words, k=r.randint(0, 12)))) for i in range(60)] + [("null", None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(5)
+    asked = spark.createDataFrame([(f"q{i}", " ".join(r.choices(words, k=i))) for i in range(6)] + [("none", None)], "query_id string, query string")
+    whole = {(x.query_id, x.rank): (x.doc_id, round(x.score, 9)) for x in lexical.search(docs, asked, 8).collect()}
+    monkeypatch.setattr(lexical, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(lexical, "CELLS", 40)
+    monkeypatch.setattr(lexical.Asked, "COMMON", 1)
+    found = lexical.search(docs, asked, 8)
+    assert "MapInArrow" in plan(found) and "Join" not in plan(found)
+    assert {(x.query_id, x.rank): (x.doc_id, round(x.score, 9)) for x in found.collect()} == whole and len(whole) == 7 * 8
+    assert [whole["none", k][0] for k in (1, 2, 3)] == ["null", "d59", "d58"]
+
+
 def test_probed_cells_are_searched_without_a_join(spark, tmp_path, monkeypatch):
     r = np.random.default_rng(5)
     m = r.normal(size=(400, 6))
@@ -43,3 +63,16 @@ def test_probed_cells_are_searched_without_a_join(spark, tmp_path, monkeypatch):
         unit = lambda v: np.array(v) / np.linalg.norm(v)
         far = sorted((round(1 - float(unit(v) @ unit(cells[q][1])), 9), i) for i, (c, v) in cells.items() if c in own)[:5]
         assert [x.doc_id for x in found.where(f"query_id = {q}").orderBy("rank").collect()] == [i for _, i in far]
+
+
+def test_contexts_do_not_shuffle_texts(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "source company", "lang section", "text")
+    asked = spark.createDataFrame([(1, "the of")], "query_id long, query string")
+    text = plan(prompting.contexts(lexical.search(docs, asked, 3), docs))
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+
+
+def test_white_space_is_that_of_python(spark):
+    every = [chr(i) for i in range(1, 0x11000) if not 0xD800 <= i < 0xE000]
+    rows = spark.createDataFrame([(c,) for c in every], "c string").where(F.col("c").rlike(T.SPACE)).collect()
+    assert {x.c for x in rows} == {c for c in every if re.fullmatch(r"\s", c)}
