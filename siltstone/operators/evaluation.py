@@ -5,21 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions.text import SPACE
 from siltstone.operators import fusion
+from siltstone.sources.workspace import Workspace
 
 NORMAL, IMPOSSIBLE = "normal", "retrieval-impossible"
 CHANNELS = ("bm25", "vector", "fused")
+#: Words of a run that names the texts to read for a passage.
+RUN = 3
+
+
+def word_runs(df: DataFrame, words: str) -> DataFrame:
+    """A row for every ``RUN`` words in a row, with their hash as ``run``; hashed after the explode, where code is generated for it."""
+    each = df.where(F.size(words) >= RUN).select("*", F.explode(F.sequence(F.lit(0), F.size(words) - RUN)).alias("at"))
+    return each.select("*", F.xxhash64(*(F.get(words, F.col("at") + i) for i in range(RUN))).alias("run"))
+
+
+def held_passages(passages: DataFrame, docs: DataFrame) -> DataFrame:
+    """``query_id`` of ``passages(query_id, query)`` beside the documents that hold the passage verbatim.
+
+    The inner words of a passage are whole words of each text that holds it, so a run of them, the longest, names the texts
+    that are read for it.  Passages without such a run are looked for in every text.  Rows repeat where runs do.
+    """
+    words, inner = f"{SPACE}+", F.slice("words", 2, F.greatest(F.lit(0), F.size("words") - 2))
+    asked = passages.select("query_id", "query", F.split("query", words).alias("words"))
+    length = sum((F.length(F.get("inner", F.col("at") + i)) for i in range(RUN)), F.lit(0))
+    runs = word_runs(asked.withColumn("inner", inner), "inner").groupBy("query_id", "query").agg(F.max_by("run", F.struct(length, "run")).alias("run"))
+    found = word_runs(docs.withColumn("words", F.split("text", words)), "words").drop("words", "at").join(F.broadcast(runs), "run")
+    found = found.where(F.contains("text", "query")).drop("run")
+    short = asked.where(F.size("words") < RUN + 2).drop("words")
+    if short.isEmpty():
+        return found
+    return found.unionByName(docs.join(F.broadcast(short), F.contains(F.col("text"), F.col("query"))))
 
 
 def gold_from_passages(passages: DataFrame, docs: DataFrame) -> DataFrame:
     """Questions from ``passages(query_id, query)``: the target is the company and section of the first document
-    that holds the passage verbatim; without one the question is impossible."""
-    texts = docs.select("doc_id", "company", "section", "text")
-    held = texts.join(F.broadcast(passages.select("query_id", "query")), F.contains(F.col("text"), F.col("query")))
+    that holds the passage verbatim; without one the question is impossible.  Stored, as evaluations read it several times."""
+    held = held_passages(passages, docs.select("doc_id", "company", "section", "text"))
     first = held.groupBy("query_id").agg(F.min_by(F.struct("company", "section"), "doc_id").alias("t"))
     tagged = passages.join(first, "query_id", "left")
     tag = F.when(F.col("t").isNull(), IMPOSSIBLE).otherwise(NORMAL)
-    return tagged.select("query_id", F.col("t.company").alias("target_company"), F.col("t.section").alias("target_section"), tag.alias("tag"))
+    gold = tagged.select("query_id", F.col("t.company").alias("target_company"), F.col("t.section").alias("target_section"), tag.alias("tag"))
+    return Workspace(docs.sparkSession, "gold").write(gold, "gold")
 
 
 def first_hits(results: DataFrame, gold: DataFrame, docs: DataFrame) -> DataFrame:

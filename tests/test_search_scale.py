@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
-from siltstone.operators import best, lexical, prompting, vector
+from siltstone.operators import best, evaluation, lexical, prompting, vector
 from tests.test_plans import plan
 
 
@@ -65,6 +65,18 @@ def test_probed_cells_are_searched_without_a_join(spark, tmp_path, monkeypatch):
         assert [x.doc_id for x in found.where(f"query_id = {q}").orderBy("rank").collect()] == [i for _, i in far]
 
 
+def test_passages_are_found_by_their_words(spark):
+    texts = ["a bb ccc dd e f", "xa bb ccc dd ex", "a bb\nccc dd e", "bb bb bb bb bb bb", "", None, "e f g hh i j", "zz a bb ccc dd ef"]
+    docs = spark.createDataFrame([(i, f"c{i}", "s", t) for i, t in enumerate(texts)], "doc_id long, company string, section string, text string")
+    asked = ["a bb ccc dd e", "bb bb bb bb bb", "bb\nccc", "", None, "f g hh i j", " bb ccc dd ", "no such words are there", "e"]
+    passages = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    got = {(x.query_id, x.doc_id) for x in evaluation.held_passages(passages, docs).collect()}
+    assert got == {(q, d) for q, p in enumerate(asked) for d, t in enumerate(texts) if p is not None and t is not None and p in t}
+    long = evaluation.held_passages(passages.where("query_id in (0, 1, 5, 7)"), docs)
+    assert "NestedLoop" not in plan(long) and long.distinct().count() == 5
+    assert {x.query_id: x.target_company for x in evaluation.gold_from_passages(passages, docs).collect()} == {0: "c0", 1: "c3", 2: "c2", 3: "c0", 4: None, 5: "c6", 6: "c0", 7: None, 8: "c0"}
+
+
 def test_contexts_do_not_shuffle_texts(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "source company", "lang section", "text")
     asked = spark.createDataFrame([(1, "the of")], "query_id long, query string")
