@@ -14,8 +14,10 @@ SPACE = r"[\x1c\x1d\x1e\x1f\p{IsWhite_Space}]"
 
 def strip(c: Column) -> Column:
     """Remove Unicode white space from both ends (``trim`` removes blanks only)."""
+    # Between printable ASCII there is nothing to remove, which is seen without a search.
+    clean = lambda x: F.substring(x, 1, 1).between("!", "~") & F.substring(x, -1, 1).between("!", "~")
     # The look-behind makes a run of blanks inside cost its length and not the square of it.
-    return F.regexp_replace(c, rf"\A{SPACE}++|(?<!{SPACE}){SPACE}++\z", "")
+    return once(c, lambda x: F.when(clean(x), x).otherwise(F.regexp_replace(x, rf"\A{SPACE}++|(?<!{SPACE}){SPACE}++\z", "")))
 
 
 def tokens(c: Column) -> Column:

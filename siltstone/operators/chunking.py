@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import SPACE, replaced, strip
+from siltstone.functions.text import SPACE, once, strip
 
 #: Literals whose full stop ends no sentence; no word boundary is asked for (fixed values).
 ABBREVIATIONS = [
@@ -16,10 +18,23 @@ DOT = "__DOT__"
 SIZE, OVERLAP, MIN_SIZE = 800, 150, 100
 
 
+def protected() -> str:
+    """A pattern for an abbreviation that ends where it is tested.
+
+    Abbreviations are protected one after the other, so one whose inner full stop ends an earlier one of the list is
+    none (``e.g.`` in ``i.e.g.``).
+    """
+    out = []
+    for n, a in enumerate(ABBREVIATIONS):
+        heads = [a[: p + 1] for p, c in enumerate(a[:-1]) if c == "."]
+        before = "".join(f"(?<!{re.escape(b.removesuffix(h))})" for b in ABBREVIATIONS[:n] for h in heads if b.endswith(h))
+        out.append(before + re.escape(a))
+    return "|".join(out)
+
+
 def sentences(text: Column) -> Column:
-    """Stripped, non-empty sentences: cut before capitals after a stop, and at blank lines."""
-    safe = replaced(text, [(a, a.replace(".", DOT)) for a in ABBREVIATIONS])
-    cut = F.split(safe, rf"(?<=[.!?]){SPACE}+(?=[A-Z])|(?<=\n)\n+")
+    """Stripped, non-empty sentences: cut before capitals after a stop that ends no abbreviation, and at blank lines."""
+    cut = F.split(text, rf"(?<=[.!?])(?={SPACE})(?<!{protected()}){SPACE}+(?=[A-Z])|(?<=\n)\n+")
     return F.filter(F.transform(cut, lambda s: strip(F.replace(s, F.lit(DOT), F.lit(".")))), lambda s: s != "")
 
 
@@ -47,7 +62,7 @@ def pack(found: Column, size: int = SIZE, overlap: int = OVERLAP, least: int = M
 
     def flushed(state: Column) -> Column:
         text = strip(F.array_join(state["cur"], " "))
-        return F.concat(state["out"], F.when(F.length(text) >= least, F.array(text)).otherwise(none))
+        return F.concat(state["out"], once(text, lambda t: F.when(F.length(t) >= least, F.array(t)).otherwise(none)))
 
     def carried(cur: Column) -> Column:
         start = F.struct(none.alias("kept"), F.lit(0).alias("used"), F.lit(True).alias("open"))
